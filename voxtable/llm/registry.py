@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxtable.llm import chat_format, quality_rules, sharding, substring_dedup, token_output, warc
+from voxtable.llm import chat_format, ngram_join, quality_rules, sharding, substring_dedup, token_output, warc
 
 MODULES = {
     "op1_sharding": sharding,
     "op2_chat_format": chat_format,
     "op4_warc": warc,
     "op5_substring_dedup": substring_dedup,
+    "op6_ngram_join": ngram_join,
     "op8_token_output": token_output,
     "op10_quality_rules": quality_rules,
 }

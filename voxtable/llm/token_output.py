@@ -44,13 +44,38 @@ PERCENTILE = 90
 SEGMENT_IDS = 1 << 20
 END_ID = 2
 #: Text of one file, and words that a worker remembers.
-FILE_BYTES, CACHE_WORDS = 24 << 20, 400_000
+FILE_BYTES, CACHE_WORDS = 24 << 20, 1_500_000
 MAGIC, MARK = b"PFR1", "\nPFR1-end\n"
 HEAD = np.dtype([("magic", "S4"), ("docs", "<u4"), ("ids", "<u4"), ("blocks", "<u4"), ("table", "<u4"), ("payload", "<u4")])
 INDEX = np.dtype([("at", "<u4"), ("least", "<u4"), ("width", "u1"), ("exceptions", "u1")])
 PATCH = np.dtype([("place", "u1"), ("value", "<u4")])
 
 
+def lanes(values: np.ndarray, width: int) -> np.ndarray:
+    """The low ``width`` bits of each row's values one after another, as bytes: value k of all rows at a time."""
+    columns = (values & np.uint32((1 << width) - 1)).T.astype(np.uint64, order="C")
+    out = np.zeros((2 * width, len(values)), np.uint64)
+    for k in range(BLOCK):
+        lane, shift = divmod(k * width, 64)
+        out[lane] |= columns[k] << np.uint64(shift)
+        if shift + width > 64:
+            out[lane + 1] |= columns[k] >> np.uint64(64 - shift)
+    return np.ascontiguousarray(out.T).astype("<u8").view(np.uint8)
+
+
+def unlanes(packed: np.ndarray, width: int) -> np.ndarray:
+    """The inverse of ``lanes``."""
+    columns = np.ascontiguousarray(np.ascontiguousarray(packed).view("<u8").T)
+    out = np.empty((BLOCK, len(packed)), np.uint32)
+    for k in range(BLOCK):
+        lane, shift = divmod(k * width, 64)
+        value = columns[lane] >> np.uint64(shift)
+        if shift + width > 64:
+            value = value | columns[lane + 1] << np.uint64(64 - shift)
+        out[k] = (value & np.uint64((1 << width) - 1)).astype(np.uint32)
+    return out.T
+
+
 def pack_ids(ids: np.ndarray) -> tuple[np.ndarray, bytes]:
     """(index, payload) of the ids' blocks."""
     n = -(-len(ids) // BLOCK)
@@ -71,8 +96,7 @@ def pack_ids(ids: np.ndarray) -> tuple[np.ndarray, bytes]:
     payload = np.zeros(int(starts[-1]), np.uint8)
     for w in np.unique(width[width > 0]):
         rows = np.flatnonzero(width == w)
-        bits = (rest[rows][:, :, None] >> np.arange(w, dtype=np.uint32)).astype(np.uint8) & 1
-        packed = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
+        packed = lanes(rest[rows], int(w))
         payload[starts[rows][:, None] + np.arange(packed.shape[1])] = packed
     block, place = np.nonzero(outside)
     if len(block):
@@ -93,11 +117,7 @@ def unpack_ids(index: np.ndarray, payload: np.ndarray) -> np.ndarray:
     for w in np.unique(width[width > 0]):
         rows = np.flatnonzero(width == w)
         packed = payload[starts[rows][:, None] + np.arange(w * (BLOCK // 8))]
-        bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
-        total = np.zeros((len(rows), BLOCK), np.uint32)
-        for k in range(w):
-            total |= bits[:, :, k].astype(np.uint32) << np.uint32(k)
-        out[rows] = total
+        out[rows] = unlanes(packed, int(w))
     patches = index["exceptions"].astype(np.int64)
     if patches.any():
         block = np.repeat(np.arange(len(index)), patches)
@@ -142,16 +162,16 @@ def ids_at(index: np.ndarray, payload: np.ndarray, start: int, n: int) -> np.nda
 
 
 class Encoder:
-    """Ids of whole texts. With ``by_word`` every distinct chunk between ASCII white space is encoded once."""
+    """Ids of whole texts. With ``by_word`` every distinct chunk between ASCII white space is encoded once a worker."""
 
     def __init__(self, path: str, end_id: int | None = END_ID, by_word: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id, self.by_word = Tokenizer.from_file(path), end_id, by_word
-        self.forget()
-
-    def forget(self) -> None:
+        # a special token between two chunks shows where the first one's ids end
+        special = [(k, x.content) for k, x in self.tokenizer.get_added_tokens_decoder().items() if x.special and not (x.lstrip or x.rstrip or x.single_word)]
+        self.fence = special[0] if special else None
         self.known, self.where = np.zeros(0, U64), np.zeros(0, np.int64)
         self.flat, self.starts, self.lens = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -161,17 +181,36 @@ class Encoder:
         lens = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter((i for ids in found for i in ids), np.uint32, int(lens.sum())), lens
 
-    def learn(self, hashes: np.ndarray, chunks: list[str]) -> None:
-        if len(self.known) + len(hashes) > CACHE_WORDS:
-            self.forget()
-        flat, lens = self.encode(chunks)
-        starts = len(self.flat) + np.concatenate([[0], np.cumsum(lens)[:-1]]).astype(np.int64)
-        known, where = np.concatenate([self.known, hashes]), np.concatenate([self.where, len(self.lens) + np.arange(len(hashes))])
-        order = np.argsort(known)
-        self.known, self.where = known[order], where[order]
-        self.flat, self.starts, self.lens = np.concatenate([self.flat, flat]), np.concatenate([self.starts, starts]), np.concatenate([self.lens, lens])
+    def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, for texts without white space: many at a time, which saves the library's cost of a call."""
+        if self.fence is None or any(self.fence[1] in x for x in chunks):
+            return self.encode(chunks)
+        number, text = self.fence
+        flat, _ = self.encode([f" {text} ".join([*chunks[a : a + 500], ""]) for a in range(0, len(chunks), 500)])
+        fences = np.flatnonzero(flat == number)
+        if len(fences) != len(chunks):
+            raise ValueError("the tokenizer doesn't keep chunks apart; encode whole texts")
+        return flat[flat != number], np.diff(np.concatenate([[-1], fences])) - 1
+
+    def entries(self, hashes: np.ndarray, chunks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, starts, counts) for sorted distinct hashes; ``chunks`` gives the texts at some places of them."""
+        new = np.flatnonzero(member(hashes, self.known) < 0)
+        flat, starts, lens = self.flat, self.starts, self.lens
+        known, where = self.known, self.where
+        if len(new):
+            more, sizes = self.encode_chunks(chunks(new))
+            starts = np.concatenate([starts, len(flat) + np.cumsum(sizes) - sizes])
+            to = np.searchsorted(known, hashes[new])
+            where = np.insert(where, to, len(lens) + np.arange(len(new)))
+            known = np.insert(known, to, hashes[new])
+            flat, lens = np.concatenate([flat, more]), np.concatenate([lens, sizes])
+            if len(known) <= CACHE_WORDS:  # a full memory stays as it is
+                self.known, self.where, self.flat, self.starts, self.lens = known, where, flat, starts, lens
+        entry = where[member(hashes, known)] if len(hashes) else np.zeros(0, np.int64)
+        return flat, starts[entry], lens[entry]
 
     def block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after another, number of each text's ids), end ids included."""
         raw, n = data.tobytes(), len(offsets) - 1
         end = np.array([] if self.end_id is None else [self.end_id], np.uint32)
         if not self.by_word:
@@ -180,21 +219,24 @@ class Encoder:
             return np.concatenate([x for k in range(n) for x in (flat[bounds[k] : bounds[k + 1]], end)] or [flat]), lens + len(end)
         words = Words(data, offsets)
         distinct, at, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        new = np.flatnonzero(member(distinct, self.known) < 0)
-        if len(new):
-            if len(self.known) + len(new) > CACHE_WORDS:
-                self.forget()
-                new = np.arange(len(distinct))
-            self.learn(distinct[new], [raw[a:b].decode() for a, b in zip(words.starts[at[new]], words.ends[at[new]])])
-        entry = self.where[member(distinct, self.known)] if len(distinct) else np.zeros(0, np.int64)
-        starts, lens = self.starts[entry][back], self.lens[entry][back]
+        flat, starts, lens = self.entries(distinct, lambda new: [raw[a:b].decode() for a, b in zip(words.starts[at[new]].tolist(), words.ends[at[new]].tolist())])
         # each text ends with a chunk of its own: the end id
-        flat = np.concatenate([self.flat, end])
-        starts, lens = np.insert(starts, words.first[1:], len(self.flat)), np.insert(lens, words.first[1:], len(end))
+        starts, lens = np.insert(starts[back], words.first[1:], len(flat)), np.insert(lens[back], words.first[1:], len(end))
+        flat = np.concatenate([flat, end])
         total = np.concatenate([[0], np.cumsum(lens)])
         spots = np.repeat(starts - total[:-1], lens) + np.arange(total[-1])
-        edges = total[words.first + np.arange(n + 1)]
-        return flat[spots], np.diff(edges)
+        return flat[spots], np.diff(total[words.first + np.arange(n + 1)])
+
+
+_encoders: dict[tuple, Encoder] = {}
+
+
+def encoder(*key) -> Encoder:
+    """One encoder a worker process: what it has learnt serves the next tasks."""
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = END_ID, by_word: bool = True) -> None:
@@ -207,7 +249,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
     rows = rows.repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, held, size = Encoder(tokenizer, end_id, by_word), [], 0
+        held, size = [], 0
 
         def flush() -> pa.RecordBatch:
             segment = write_segment(*(np.concatenate(x) for x in zip(*held, strict=True)))
@@ -219,7 +261,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
             known = np.asarray(batch.column(0).is_valid())
             ids = np.asarray(batch.column(0).fill_null(0)).astype(np.int64)
             for a, b in blocks(offsets):
-                flat, lens = encoder.block(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                flat, lens = encoder(tokenizer, end_id, by_word).block(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 held.append((ids[a:b], known[a:b], lens, flat))
                 size += len(flat)
                 if size >= SEGMENT_IDS:
