@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxtable.llm import chat_format, ngram_join, quality_rules, sharding, substring_dedup, token_output, warc
+from voxtable.llm import chat_format, decontamination, ngram_join, packing, quality_rules, sharding, substring_dedup, token_output, warc
 
 MODULES = {
     "op1_sharding": sharding,
@@ -14,7 +14,9 @@ MODULES = {
     "op4_warc": warc,
     "op5_substring_dedup": substring_dedup,
     "op6_ngram_join": ngram_join,
+    "op7_decontamination": decontamination,
     "op8_token_output": token_output,
+    "op9_packing": packing,
     "op10_quality_rules": quality_rules,
 }
 
