@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxtable.llm import chat_format, decontamination, ngram_join, packing, quality_rules, sharding, substring_dedup, token_output, warc
+from voxtable.llm import chat_format, decontamination, language_id, ngram_join, packing, quality_rules, sharding, substring_dedup, token_output, warc
 
 MODULES = {
     "op1_sharding": sharding,
     "op2_chat_format": chat_format,
+    "op3_language_id": language_id,
     "op4_warc": warc,
     "op5_substring_dedup": substring_dedup,
     "op6_ngram_join": ngram_join,

@@ -13,8 +13,8 @@ of the non-overlapping blocks, probed with every rolling 7-word window, misses n
 3. removal: windows with an answer below their own document's id are removed; adjacent ones merge into maximal repeats.
 
 Rows between the steps are packed arrays, one for each pair of group and bucket, and distinct within a group: a
-passage or a copy that a third of all documents share is one entry a group. Nothing is collected to the driver but two
-sums. Anchors may be false hits (45 bits or more tell them apart); windows are told apart by 64 bits and their bucket.
+passage or a copy that a third of all documents share is one entry a group. Nothing is collected to the driver but one
+sum. Anchors may be false hits (45 bits or more tell them apart); windows are told apart by 64 bits and their bucket.
 
 Defined results: a null text has no words; a row with a null id keeps its whole text and is no reference; rows with
 the same id are one document's, none of them smaller; further columns of the input don't matter.
@@ -43,6 +43,7 @@ SEND_WORDS = 3_000_000
 PACKED = 5
 
 TEXTS = "grp int, doc_id long, z binary"
+NOT_CARRIED = 3
 SENT = "bucket int, grp int, blob binary"
 ANSWER = "grp int, blob binary"
 
@@ -85,18 +86,21 @@ SENT_ARROW = [("bucket", pa.int32()), ("grp", pa.int32()), ("blob", pa.binary())
 ANSWER_ARROW = [("grp", pa.int32()), ("blob", pa.binary())]
 
 
-def squeezed(docs: DataFrame, groups: int, id_col: str, text_col: str) -> DataFrame:
+def squeezed(docs: DataFrame, groups: int, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """Documents by group, each text compressed on its own: what a shuffle of the texts costs at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3, write_content_size=True)
         for batch in batches:
             texts = batch.column(2).cast(pa.large_binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([press.compress(t or b"") for t in texts], pa.binary())], names=["grp", "doc_id", "z"])
+            texts = pa.array([None if t is None else press.compress(t) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts, *batch.columns[NOT_CARRIED:]], names=["grp", "doc_id", "z", *batch.schema.names[NOT_CARRIED:]])
 
     # a null id has no fixed hash of its own: its group comes from the text
     grp = F.pmod(F.coalesce(F.xxhash64(id_col), F.lit(0)) + F.when(F.col(id_col).isNull(), F.xxhash64(text_col) % 1_000_003).otherwise(0), F.lit(groups))
-    return docs.select(grp.cast("int").alias("grp"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, TEXTS)
+    rows = docs.select(grp.cast("int").alias("grp"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"carry{k}") for k, c in enumerate(carry)))
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(run, ", ".join([TEXTS, *(f"carry{k} {kinds[f'carry{k}']}" for k in range(len(carry)))]))
 
 
 def open_texts(batch: pa.RecordBatch | pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, Words, list[bytes]]]:
@@ -259,6 +263,16 @@ def smallest(key, rows):
 
 
 RESULT = "doc_id long, n_words long, n_removed long, spans array<struct<first:long,last:long>>, kept binary"
+SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+
+
+def without(text: bytes, words: Words, base: int, first: int, edges: np.ndarray) -> bytes:
+    """The text without the words of some ranges; the white space around them stays."""
+    parts, last = [], 0
+    for x, y in zip(edges[::2], edges[1::2], strict=True):
+        parts.append(text[last : int(words.starts[first + x]) - base])
+        last = int(words.ends[first + y - 1]) - base
+    return b"".join([*parts, text[last:]])
 
 
 def remove(window: int, keep_text: bool):
@@ -268,7 +282,7 @@ def remove(window: int, keep_text: bool):
         least = np.concatenate([x[1].view(np.int64) for x in pairs] or [np.zeros(0, np.int64)])
         order = np.argsort(values, kind="stable")
         values, least = values[order], least[order]
-        ids_out, counts, removed, spans, kept = [], [], [], [], []
+        counts, removed, spans, kept = [], [], [], []
         for _, ids, known, words, texts in open_texts(docs):
             gone = np.zeros(len(words), bool)
             if len(values):
@@ -279,47 +293,44 @@ def remove(window: int, keep_text: bool):
             for k, text in enumerate(texts):
                 a, b = int(words.first[k]), int(words.first[k + 1])
                 mine = gone[a:b]
-                n = int(mine.sum())
-                ids_out.append(int(ids[k]) if known[k] else None)
+                edges = np.flatnonzero(np.diff(np.concatenate([[0], mine.view(np.int8), [0]])))
                 counts.append(b - a)
-                removed.append(n)
-                if n:
-                    edges = np.flatnonzero(np.diff(np.concatenate([[0], mine.view(np.int8), [0]])))
-                    spans.append([{"first": int(x), "last": int(y) - 1} for x, y in zip(edges[::2], edges[1::2], strict=True)])
-                    base = int(words.offsets[k])
-                    if keep_text:
-                        parts, last = [], 0
-                        for x, y in zip(edges[::2], edges[1::2], strict=True):
-                            parts.append(text[last : int(words.starts[a + x]) - base])
-                            last = int(words.ends[a + y - 1]) - base
-                        kept.append(b"".join([*parts, text[last:]]))
-                    else:
-                        bits = text.split()
-                        kept.append(hashlib.sha256(b" ".join([w for w, g in zip(bits, mine, strict=True) if not g])).digest())
+                removed.append(int(mine.sum()))
+                spans.append([{"first": int(x), "last": int(y) - 1} for x, y in zip(edges[::2], edges[1::2], strict=True)])
+                if keep_text:
+                    kept.append(without(text, words, int(words.offsets[k]), a, edges) if len(edges) else text)
                 else:
-                    spans.append([])
-                    kept.append(None if keep_text else hashlib.sha256(b" ".join(text.split())).digest())
-        return pa.table([pa.array(ids_out, pa.int64()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), pa.array(kept, pa.binary())], names=["doc_id", "n_words", "n_removed", "spans", "kept"])
+                    bits = text.split()
+                    kept.append(hashlib.sha256(b" ".join([w for w, g in zip(bits, mine, strict=True) if not g] if len(edges) else bits)).digest())
+        if keep_text and docs.column("z").null_count:
+            kept = [x if ok else None for x, ok in zip(kept, docs.column("z").is_valid().to_pylist(), strict=True)]
+        carried = docs.schema.names[NOT_CARRIED:]
+        return pa.table(
+            [docs.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, SPANS), pa.array(kept, pa.binary()), *(docs.column(c) for c in carried)],
+            names=["doc_id", "n_words", "n_removed", "spans", "kept", *carried],
+        )
 
     return run
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep_text: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_words, n_removed, spans (of removed words, maximal repeats), kept.
 
-    ``kept`` is the SHA-256 of the words that stay, joined by spaces; with ``keep_text``, the text that stays with the
-    white space around it, as UTF-8, or null where nothing was removed.
+    ``kept`` is the SHA-256 of the words that stay, joined by spaces; with ``keep_text``, it is the text that stays, with
+    the white space around it (null for null). Columns named in ``carry`` come along as ``carry0``, ``carry1`` and so on.
     """
     spark, block = docs.sparkSession, (window + 1) // 2
-    # two sums set the number of groups, so that a group's size doesn't grow with the input
+    # a sum sets the number of groups, so that a group's size doesn't grow with the input
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     groups = max(partitions(spark), -(-total // GROUP_BYTES))
-    texts = squeezed(docs, groups, id_col, text_col).repartition(groups, "grp")
-    probes = texts.mapInArrow(index_and_probe(block, groups), SENT)
+    texts = squeezed(docs, groups, id_col, text_col, carry).repartition(groups, "grp")
+    probes = texts.select("grp", "doc_id", "z").mapInArrow(index_and_probe(block, groups), SENT)
     hits = probes.groupBy("bucket").applyInArrow(anchors, ANSWER)
     windows = texts.groupBy("grp").cogroup(hits.groupBy("grp")).applyInArrow(extend(block, window, groups), SENT)
     answers = windows.groupBy("bucket").applyInArrow(smallest, ANSWER)
-    return texts.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(remove(window, keep_text), RESULT)
+    kinds = dict(texts.dtypes)
+    result = ", ".join([RESULT, *(f"carry{k} {kinds[f'carry{k}']}" for k in range(len(carry)))])
+    return texts.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(remove(window, keep_text), result)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
