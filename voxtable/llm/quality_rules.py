@@ -28,7 +28,7 @@ RULES = {
     "few_words": lambda m: m["n_words"] < 10,
     "repetitive": lambda m: 100 * m["n_repeat_words"] > 20 * m["n_words"],
     "symbols": lambda m: 10 * m["n_symbols"] > m["n_words"],
-    "repeated_lines": lambda m: 10 * m["n_dup_lines"] > 3 * m["n_lines"],
+    "repeated_lines": lambda m: (10 * m["n_dup_lines"] > 3 * m["n_lines"]) & (m["n_dup_lines"] >= 3),
     "short_words": lambda m: m["word_chars"] < 2 * m["n_words"],
     "long_words": lambda m: m["word_chars"] > 25 * m["n_words"],
 }
@@ -184,7 +184,7 @@ m AS (SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transf
              (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
       FROM d JOIN w USING (rid) LEFT JOIN r USING (rid)),
 f AS (SELECT *, (CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END
-      + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 8 ELSE 0 END
+      + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN 10 * n_dup_lines > 3 * n_lines AND n_dup_lines >= 3 THEN 8 ELSE 0 END
       + CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars > 25 * n_words THEN 32 ELSE 0 END)::BIGINT AS fail_bits FROM m)
 SELECT *, fail_bits & 3 <> 0 AS base_failed, 'web-2' AS policy, fail_bits = 0 AS kept FROM f
 """
