@@ -1,0 +1 @@
+"""The stateless line filters and the incremental clustering, on streams."""
