@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from voxtable.llm.components import components
 from voxtable.llm.kernel import FOLDED, U64, Words, grams, mix, rows_of, runs, whole
-from voxtable.llm.shared import partitions, stash, table
+from voxtable.llm.shared import partitions, small, stash, table
 
 SHINGLE, NUM, DEN = 3, 90, 100
 #: Size of the sketch: this many counters, sent in this many slices.
@@ -195,7 +195,10 @@ WHOLE = "doc long, s1 long, p2 array<long>, p3 array<long>, tokens binary"
 
 
 def whole_sets(k: int, num: int, den: int, level):
+    """Sets of the texts, a repeated row once a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for ids, known, owner, values, n in blobs(batches, k):
             counts, s1, _ = signatures(owner, values, n)
             other = []
@@ -205,7 +208,9 @@ def whole_sets(k: int, num: int, den: int, level):
                 other.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values[entry].view(np.int64))))
             bounds = np.concatenate([[0], np.cumsum(counts)])
             sets = [values[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=~known), pa.array(s1.view(np.int64)), *other, pa.array(sets, pa.binary())], names=["doc", "s1", "p2", "p3", "tokens"])
+            keys = list(zip(ids.tolist(), s1.tolist(), strict=True))
+            fresh = pa.array([key not in seen and not seen.add(key) for key in keys], pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=~known), pa.array(s1.view(np.int64)), *other, pa.array(sets, pa.binary())], names=["doc", "s1", "p2", "p3", "tokens"]).filter(fresh)
 
     return run
 
@@ -242,9 +247,9 @@ def pairs_of(joined: DataFrame, x: str, y: str) -> DataFrame:
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int, level) -> DataFrame:
     """Links (a, b) among the pairs."""
-    need = stash(pairs.select(F.col("a").alias("doc"), F.col("sa").alias("s1")).unionByName(pairs.select(F.col("b").alias("doc"), F.col("sb").alias("s1"))).distinct())
-    texts = docs.join(need.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = stash(texts.select("doc_id", "text").mapInArrow(whole_sets(k, num, den, level), WHOLE).join(need, ["doc", "s1"], "left_semi").dropDuplicates(["doc", "s1"]))
+    need = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
+    texts = docs.join(small(stash(need.distinct())), "doc_id", "left_semi")
+    sets = stash(texts.select("doc_id", "text").mapInArrow(whole_sets(k, num, den, level), WHOLE))
     # the other orders first, on their own columns; whole sets only for what is left
     left, right = (sets.select(F.col("doc").alias(d), F.col("s1").alias(s), F.col("p2").alias(f"{d}2"), F.col("p3").alias(f"{d}3")) for d, s in (("a", "sa"), ("b", "sb")))
     passed = pairs.join(left, ["a", "sa"]).join(right, ["b", "sb"]).where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select(PAIR)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -24,6 +25,15 @@ def stash(df: DataFrame, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids (long) that are broadcast at most: their hash table stays below 64 MB whatever the input's size.
+MOST_IDS = 2_000_000
+
+
+def small(ids: DataFrame) -> DataFrame:
+    """A written table of ids, marked for broadcast if it has MOST_IDS rows at most; beyond that joins shuffle."""
+    return F.broadcast(ids) if ids.count() <= MOST_IDS else ids
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
