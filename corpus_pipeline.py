@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxtable.llm import decontamination, ngram_join, packing, quality_rules, substring_dedup
-from voxtable.llm.shared import stash, table
+from voxtable.llm.shared import small, stash, table
 
 NEAR_WORDS, NEAR_NUM, NEAR_DEN = 5, 80, 100
 ORACLE_SQL = None
@@ -31,9 +31,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with a null id stay, as do all rows with the smallest id of their group."""
     rows = ngram_join.link_components(docs, shingle=NEAR_WORDS, num=NEAR_NUM, den=NEAR_DEN)
-    # written, so that Spark knows its size when it chooses how to join
     gone = stash(rows.where("component_id < doc_id").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +47,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows with a null id go where one of them is contaminated."""
     found = stash(decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__bad")).distinct())
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["__bad"]), "left_anti").select(docs.columns)
+    return docs.join(small(found), docs["doc_id"].eqNullSafe(found["__bad"]), "left_anti").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
