@@ -152,7 +152,7 @@ ITEM = "The quick brown fox Anna Smith ran 12 km in 3.5 hours and then sold 40 a
 
 def test_decontamination(spark, empty):
     other = ITEM.replace("12", "77").replace("Anna", "Berta").replace("3.5", "9").replace("40", "8")
-    mixed = "She gave 3 apples to Tom and then 3 pears to Tom because nothing else was left over."
+    mixed = "gave 3 apples to Tom and then 3 pears to Tom because nothing"
     bench = spark.createDataFrame([(1, ITEM), (1, ITEM), (2, mixed), (3, None), (4, "One two three"), (5, "seven tokens make a short item here")], "item_id long, text string")
     noise = " ".join(f"x{i}" for i in range(30))
     texts = {
