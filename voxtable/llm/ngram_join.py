@@ -130,7 +130,7 @@ def prefixes(owner: np.ndarray, keys: np.ndarray, counts: np.ndarray, num: int,
 
 PACKET = "bucket int, blob binary"
 ENTRY = np.dtype([("t", "<u8"), ("s1", "<u8"), ("doc", "<i8"), ("n", "<u4"), ("pos", "<u4")])
-SHARED = "t long, doc long, s1 long, n int, pos int"
+SHARED = "t long, doc long, s1 long, n int, pos int, salted boolean"
 
 
 def first_order(k: int, num: int, den: int, level, buckets: int):
@@ -182,11 +182,12 @@ def meet(buckets: int):
         new = np.ones(len(found), bool)
         new[1:] = (found["t"][1:] != found["t"][:-1]) | (found["s1"][1:] != found["s1"][:-1])
         found = found[new]
-        if key[0].as_py() < buckets:
+        salted = key[0].as_py() >= buckets
+        if not salted:
             at = runs(found["t"])
             times = np.diff([*at, len(found)])
             found = found[np.repeat(times, times) > 1]
-        return pa.table([pa.array(np.ascontiguousarray(found["t"]).view(np.int64)), pa.array(np.ascontiguousarray(found["doc"])), pa.array(np.ascontiguousarray(found["s1"]).view(np.int64)), pa.array(found["n"].astype(np.int32)), pa.array(found["pos"].astype(np.int32))], names=["t", "doc", "s1", "n", "pos"])
+        return pa.table([pa.array(np.ascontiguousarray(found["t"]).view(np.int64)), pa.array(np.ascontiguousarray(found["doc"])), pa.array(np.ascontiguousarray(found["s1"]).view(np.int64)), pa.array(found["n"].astype(np.int32)), pa.array(found["pos"].astype(np.int32)), pa.array(np.full(len(found), salted))], names=["t", "doc", "s1", "n", "pos", "salted"])
 
     return run
 
@@ -252,9 +253,10 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int, leve
     sets = stash(texts.select("doc_id", "text").mapInArrow(whole_sets(k, num, den, level), WHOLE))
     # the other orders first, on their own columns; whole sets only for what is left
     left, right = (sets.select(F.col("doc").alias(d), F.col("s1").alias(s), F.col("p2").alias(f"{d}2"), F.col("p3").alias(f"{d}3")) for d, s in (("a", "sa"), ("b", "sb")))
-    passed = pairs.join(left, ["a", "sa"]).join(right, ["b", "sb"]).where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select(PAIR)
+    passed = left.join(small(pairs), ["a", "sa"]).join(right, ["b", "sb"]).where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select(PAIR)
+    passed = stash(passed)
     left, right = (sets.select(F.col("doc").alias(d), F.col("s1").alias(s), F.col("tokens").alias(t)) for d, s, t in (("a", "sa", "x"), ("b", "sb", "y")))
-    return passed.join(left, ["a", "sa"]).join(right, ["b", "sb"]).select("a", "b", "x", "y").mapInArrow(alike(num, den), "a long, b long")
+    return left.join(small(passed), ["a", "sa"]).join(right, ["b", "sb"]).select("a", "b", "x", "y").mapInArrow(alike(num, den), "a long, b long")
 
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -270,17 +272,18 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     sent = docs.mapInArrow(first_order(shingle, num, den, level, buckets), PACKET)
     shared = stash(sent.groupBy("bucket").applyInArrow(meet(buckets), SHARED))
-    e = stash(shared.groupBy("t", "s1", "n", "pos").agg(F.min("doc").alias("doc")))
+    salted = shared.where("salted").groupBy("t", "s1", "n", "pos").agg(F.min("doc").alias("doc"))
+    e = shared.where("not salted").drop("salted").unionByName(salted)
     leaders = e.groupBy("t").agg(F.count("*").alias("c"), F.min(F.struct("pos", "doc", "s1", "n")).alias("l")).where("c > 1").select("t", "l.*")
     x, y = e.alias("x"), leaders.alias("y")
     pairs = stash(pairs_of(x.join(y, "t").where((F.col("x.s1") != F.col("y.s1")) & possible(num, den, "x", "y")), "x", "y"))
     links = stash(verified(pairs, docs, shingle, num, den, level))
 
     # what may still connect two components
-    names = components(links).withColumnRenamed("node", "doc")
+    names = small(stash(components(links).withColumnRenamed("node", "doc")))
     named = e.join(names, "doc", "left").select("t", "doc", "s1", "n", "pos", F.coalesce("component", "doc").alias("c"))
     several = named.groupBy("t").agg(F.min("c").alias("l"), F.max("c").alias("h")).where("l <> h").select("t")
-    named = stash(named.join(several, "t", "left_semi"))
+    named = stash(named.join(small(stash(several)), "t", "left_semi"))
     x, y = named.alias("x"), named.alias("y")
     crossing = F.struct("x.doc", "x.s1") < F.struct("y.doc", "y.s1")
     more = pairs_of(x.join(y, "t").where((F.col("x.c") != F.col("y.c")) & crossing & possible(num, den, "x", "y")), "x", "y")

@@ -25,13 +25,13 @@ def stash(df: DataFrame, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Ids (long) that are broadcast at most: their hash table stays below 64 MB whatever the input's size.
-MOST_IDS = 2_000_000
+#: Numbers (long) in a table that is broadcast at most: its hash table stays near 64 MB whatever the input's size.
+MOST_NUMBERS = 2_000_000
 
 
-def small(ids: DataFrame) -> DataFrame:
-    """A written table of ids, marked for broadcast if it has MOST_IDS rows at most; beyond that joins shuffle."""
-    return F.broadcast(ids) if ids.count() <= MOST_IDS else ids
+def small(numbers: DataFrame) -> DataFrame:
+    """A written table of long columns, marked for broadcast if it has few enough rows; beyond that joins shuffle."""
+    return F.broadcast(numbers) if numbers.count() * len(numbers.columns) <= MOST_NUMBERS else numbers
 
 
 def partitions(spark: SparkSession) -> int:
