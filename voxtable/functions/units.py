@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from voxtable.functions.bind import bind
+
 #: Fixed value: the first code point of supplementary private use area A.
 FIRST = 983040
 #: How many units the area holds (its last two code points are no characters).
@@ -52,8 +54,7 @@ def spaced(labels: Column | str) -> Column:
 
 def collapse(values: Column | str) -> Column:
     """An array without elements that equal the one before (nulls equal nulls)."""
-    values = _col(values)
-    return F.filter(values, lambda x, i: (i == 0) | ~x.eqNullSafe(F.element_at(values, F.greatest(i, F.lit(1)))))
+    return bind(_col(values), lambda v: F.filter(v, lambda x, i: (i == 0) | ~x.eqNullSafe(F.element_at(v, F.greatest(i, F.lit(1))))))
 
 
 def collapse_chars(text: Column | str) -> Column:

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxtable.functions.bind import bind
 from voxtable.functions.text import strip
 from voxtable.functions.units import unit_char
 
@@ -20,10 +21,13 @@ def words_of(x: Column | str) -> Column:
 
 def edits(reference: Column | str, hypothesis: Column | str) -> Column:
     """Word edit distance: each distinct word of the pair becomes one character, then Spark's ``levenshtein`` counts."""
-    ref, hyp = words_of(reference), words_of(hypothesis)
-    known = F.array_distinct(F.concat(ref, hyp))
-    chars = lambda words: F.array_join(F.transform(words, lambda w: unit_char(F.array_position(known, w) - 1)), "")
-    return F.levenshtein(chars(ref), chars(hyp))
+
+    def distance(x: Column) -> Column:
+        chars = lambda words: F.array_join(F.transform(words, lambda w: unit_char(F.array_position(x["known"], w) - 1)), "")
+        return F.levenshtein(chars(x["r"]), chars(x["h"]))
+
+    pair = F.struct(words_of(reference).alias("r"), words_of(hypothesis).alias("h"))
+    return bind(pair, lambda p: bind(F.struct(p["r"].alias("r"), p["h"].alias("h"), F.array_distinct(F.concat(p["r"], p["h"])).alias("known")), distance))
 
 
 def word_errors(df: DataFrame, reference: str, hypothesis: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -41,8 +45,9 @@ def tokens(x: Column | str, tokenizer: str) -> Column:
 
 def ngrams(x: Column, n: int) -> Column:
     """n-grams of an array as arrays."""
-    size = F.size(x)
-    return F.when(size >= n, F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.slice(x, i, n))).otherwise(F.array().cast("array<array<string>>"))
+    count = lambda t: F.greatest(F.size(t) - n + 1, F.lit(0))
+    slices = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(count(t), F.lit(1))), lambda i: F.slice(t, i, n))
+    return bind(x, lambda t: F.slice(slices(t), F.lit(1), count(t)))
 
 
 def ngram_matches(df: DataFrame, reference: str, hypothesis: str, orders: int, tokenizer: str, key: str = "idx") -> DataFrame:

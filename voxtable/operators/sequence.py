@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from voxtable.functions.bind import bind
+
 
 def collapse_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
     """Rows whose value differs from that of the row before, within ``keys``; nulls equal nulls."""
@@ -29,16 +31,19 @@ def pool(df: DataFrame, key: str, place: str, values: str, width: int, kind: str
 
 def pool_array(values: Column | str, width: int, kind: str = "mean") -> Column:
     """Mean or max of whole windows of ``width`` successive elements of an array."""
-    values = F.col(values) if isinstance(values, str) else values
-    n = F.floor(F.size(values) / width).cast("int")
 
-    def one(i: Column) -> Column:
-        part = F.slice(values, (i - 1) * width + 1, F.lit(width))
-        if kind == "max":
-            return F.array_max(part).cast("double")
-        return F.aggregate(part, F.lit(0.0), lambda s, x: s + x.cast("double")) / width
+    def pooled(v: Column) -> Column:
+        n = F.floor(F.size(v) / width).cast("int")
+
+        def one(i: Column) -> Column:
+            part = F.slice(v, (i - 1) * width + 1, F.lit(width))
+            if kind == "max":
+                return F.array_max(part).cast("double")
+            return F.aggregate(part, F.lit(0.0), lambda s, x: s + x.cast("double")) / width
+
+        return F.slice(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), one), F.lit(1), n)
 
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), one)).otherwise(F.array().cast("array<double>"))
+    return bind(F.col(values) if isinstance(values, str) else values, pooled)
 
 
 def flatten_masked(df: DataFrame, key: str, values: str, mask: str) -> DataFrame:
