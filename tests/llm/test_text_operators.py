@@ -163,7 +163,8 @@ def test_decontamination(spark, empty):
     got = {(r.doc_id, r.item_id): r for r in decontamination.contaminated(docs, bench).collect()}
     assert {k for k in got if k[0] != 11} == {(10, 1), (12, 1), (16, 2), (18, 5)}
     assert got[10, 1].n_exact == got[10, 1].n_windows > 0 and got[12, 1].n_exact < got[12, 1].n_windows
-    assert got[10, 1].first_word == 30
+    # the item's first word stands inside a sentence here, so it counts as a name
+    assert got[10, 1].first_word == 31
     assert decontamination.contaminated(empty, bench).count() == 0
     assert decontamination.contaminated(docs, bench.where("item_id < 0")).count() == 0
 
