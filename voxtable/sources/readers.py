@@ -11,6 +11,8 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -165,9 +167,6 @@ def decoded(df: DataFrame, column: str, placeholder_length: int, decoder: Callab
 
 def resample(factor_from: int, factor_to: int):
     """A pandas function that resamples array<float> by linear interpolation (P2)."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def run(s: pd.Series) -> pd.Series:
         def one(x):
