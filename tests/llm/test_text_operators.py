@@ -157,14 +157,13 @@ def test_decontamination(spark, empty):
     noise = " ".join(f"x{i}" for i in range(30))
     texts = {
         10: f"{noise} {ITEM} {noise}", 11: f"{noise} {other.upper().lower()} {noise}", 12: f"{noise}. {other}", 13: noise, 14: None, 15: "",
-        16: mixed.replace("3 apples", "5 apples").replace("3 pears", "5 pears"), 17: mixed.replace("3 apples", "5 apples").replace("3 pears", "6 pears"), 18: "(seven) tokens: make a short item, here!",
+        16: mixed.replace("3 apples", "5 apples").replace("3 pears", "5 pears"), 17: mixed.replace("3 apples", "5 apples").replace("3 pears", "6 pears"), 18: "(seven) tokens: make a short item, here!", 19: ITEM.upper(),
     }
     docs = spark.createDataFrame([(k, v, "s") for k, v in texts.items()], "doc_id long, text string, item_id string")
     got = {(r.doc_id, r.item_id): r for r in decontamination.contaminated(docs, bench).collect()}
-    assert {k for k in got if k[0] != 11} == {(10, 1), (12, 1), (16, 2), (18, 5)}
+    assert {k for k in got if k[0] != 11} == {(10, 1), (12, 1), (16, 2), (18, 5), (19, 1)}
     assert got[10, 1].n_exact == got[10, 1].n_windows > 0 and got[12, 1].n_exact < got[12, 1].n_windows
-    # the item's first word stands inside a sentence here, so it counts as a name
-    assert got[10, 1].first_word == 31
+    assert got[10, 1].first_word == 30
     assert decontamination.contaminated(empty, bench).count() == 0
     assert decontamination.contaminated(docs, bench.where("item_id < 0")).count() == 0
 

@@ -3,7 +3,8 @@
 Every text becomes a sequence of tokens: words without the punctuation around them, in lower case, where numbers, names
 (capitalised words inside a sentence) and units after a number are typed placeholders. Windows of ``WINDOW`` tokens of
 documents and benchmark items are hash-joined on the template; the values in a window's slots must then map to the
-item's values one to one, so a question with other numbers or names is found, and a mere likeness of form is not.
+item's values one to one, so a question with other numbers or names is found, and a mere likeness of form is not. Windows
+with names are also taken with the names spelt out, so that a copy in other capitals is found.
 
 Items of fewer than ``WINDOW`` tokens have one window of their whole length; items of fewer than ``LEAST`` tokens, and
 windows with fewer than half their tokens literal, are left out. A bitmap of fixed size made from the benchmark's
@@ -16,6 +17,7 @@ judged together; repeated items count once each; an empty table gives no rows; f
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -90,21 +92,29 @@ class Tokens:
         unit[1:] = number[:-1] & (self.text[1:] == self.text[:-1])
         unit &= np.isin(plain, unit_hashes())
         self.kind = np.select([number, unit, name], [NUMBER, UNIT, NAME], WORD)
-        self.hashes = np.where(self.kind == WORD, plain, HOLDER_HASH[self.kind])
-        self.literal = sums(self.kind == WORD)
+        spelt = np.where(self.kind == NAME, WORD, self.kind)
+        self.forms = [(kind, np.where(kind == WORD, plain, HOLDER_HASH[kind]), sums(kind == WORD)) for kind in (self.kind, spelt)]
+        self.names = sums(self.kind == NAME)
 
-    def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(first tokens, hashes) of the windows of k tokens with enough literal ones."""
+    def windows(self, k: int, form: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first tokens, hashes) of the windows of k tokens with enough literal ones.
+
+        Form 0 has names as placeholders; form 1 spells them, for windows that have some: so a copy in other capitals
+        is found too.
+        """
+        _, hashes, literal = self.forms[form]
         room = np.repeat(self.first[1:], self.counts) - np.arange(len(self.text))
         at = np.flatnonzero(room >= k)
-        at = at[2 * (self.literal[at + k] - self.literal[at]) >= k]
-        return at, grams(self.hashes, k)[at]
+        at = at[2 * (literal[at + k] - literal[at]) >= k]
+        if form:
+            at = at[self.names[at + k] > self.names[at]]
+        return at, grams(hashes, k)[at]
 
-    def window(self, at: int, k: int) -> tuple[str, list[str]]:
+    def window(self, at: int, k: int, form: int) -> tuple[str, list[str]]:
         """(template, values of its slots)."""
-        span = range(at, at + k)
+        span, kind = range(at, at + k), self.forms[form][0]
         value = [self.lower[self.starts[i] : self.ends[i]].tobytes().decode(errors="replace") for i in span]
-        return " ".join(HOLDERS[self.kind[i]] or v for i, v in zip(span, value, strict=True)), [v for i, v in zip(span, value, strict=True) if self.kind[i] != WORD]
+        return " ".join(HOLDERS[kind[i]] or v for i, v in zip(span, value, strict=True)), [v for i, v in zip(span, value, strict=True) if kind[i] != WORD]
 
 
 FOUND = "h long, id long, row long, at int, k int, template string, slots array<string>"
@@ -122,8 +132,8 @@ def find(lengths: tuple[int, ...], bitmap=None, whole_only: bool = False):
             ids, rows = batch.column(0), batch.column(1)
             for start, words in rows_of(batch.column(2)):
                 tokens, out = Tokens(words), []
-                for k in lengths:
-                    at, hashes = tokens.windows(k)
+                for k, form in itertools.product(lengths, (0, 1)):
+                    at, hashes = tokens.windows(k, form)
                     if whole_only and k < WINDOW:  # an item's window is the whole item
                         keep = tokens.counts[tokens.text[at]] == k
                         at, hashes = at[keep], hashes[keep]
@@ -133,7 +143,7 @@ def find(lengths: tuple[int, ...], bitmap=None, whole_only: bool = False):
                         at, hashes = at[keep], hashes[keep]
                     for i, h in zip(at.tolist(), hashes.view(np.int64).tolist()):
                         text = int(tokens.text[i])
-                        out.append((h, ids[start + text].as_py(), rows[start + text].as_py(), int(tokens.word[i]), k, *tokens.window(i, k)))
+                        out.append((h, ids[start + text].as_py(), rows[start + text].as_py(), int(tokens.word[i]), k, *tokens.window(i, k, form)))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*out, strict=True), FOUND_ARROW, strict=True)], names=[n for n, _ in FOUND_ARROW])
 
@@ -169,7 +179,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     pairs = n(F.arrays_zip(F.col("d.slots").alias("a"), F.col("i.slots").alias("b")))
     consistent = (pairs == n(F.col("d.slots"))) & (pairs == n(F.col("i.slots")))
     return same.where(consistent).groupBy(F.col("d.id").alias("doc_id"), F.col("i.id").alias("item_id")).agg(
-        F.count("*").alias("n_windows"), F.count(F.when(F.col("d.slots") == F.col("i.slots"), 1)).alias("n_exact"), F.min("d.at").cast("long").alias("first_word")
+        F.count_distinct("d.at").alias("n_windows"), F.count_distinct(F.when(F.col("d.slots") == F.col("i.slots"), F.col("d.at"))).alias("n_exact"), F.min("d.at").cast("long").alias("first_word")
     )
 
 
