@@ -24,7 +24,7 @@ def corpus(n: int = 60, seed: int = 3) -> list[tuple]:
                 text[rng.randrange(len(text))] = "changed"
         joined = "".join(w + rng.choice([" ", " ", "\n", "\t ", " "]) for w in text)
         rows.append((i * 3, joined, rng.choice(["en", "fr"]), rng.choice(["a", "a", "b"]), len(joined), "x", "y"))
-    rows += [(1000, None, None, None, None, None, None), (1001, "", "en", "", 0, "", ""), (1002, " \n\t", "en", "a", 3, "", ""), (None, "no id " * 20, "en", "b", 120, "", "")]
+    rows += [(1000, None, None, None, None, None, None), (1001, "", "en", "", 0, "", ""), (1002, " \n\t", "en", "a", 3, "", ""), (None, "no id " * 20, "en", "b", 120, "", ""), (1004, "no id " * 20, "en", "b", 120, "", ""), (1005, "no id " * 20, "en", "b", 120, "", "")]
     rows += [rows[5], rows[5], (1003, "long " + " ".join(make(9000)), "fr", "a", 1, "", "")]
     rng.shuffle(rows)
     return rows

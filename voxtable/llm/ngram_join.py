@@ -291,7 +291,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = stash(links.unionByName(verified(more, docs, shingle, num, den, level)))
 
     names = components(links).withColumnRenamed("node", "class_id")
-    out = rows.join(classes, ["s1", "s2", "n"], "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
+    out = rows.join(classes, ["s1", "s2", "n"], "left").withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")))
     return out.join(names, "class_id", "left").select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
 
 
