@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxtable.llm.kernel import BLOCK_BYTES, U64, Words, blocks, cover, mix, text_arrays, whole
+from voxtable.llm.shared import short_batches, table
 
 REPEAT_WINDOW = 5
 SYMBOLS = b"#*$%&|<>"
@@ -121,6 +122,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
 def passing(docs: DataFrame, text_col: str = "text", policy: str = CURRENT) -> DataFrame:
     """The rows of ``docs``, all their columns unchanged, that no rule of the policy fails. One pass, no shuffle."""
     at, rejects = docs.columns.index(text_col), mask(policy)
+    short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,7 +168,7 @@ def ablation(rows: DataFrame, policy: str = CURRENT) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     return apply_policy(ledger(docs)).select("doc_id", *MEASURES, "fail_bits", fails(BASE).alias("base_failed"), "policy", "kept")
 
 

@@ -9,6 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of an Arrow batch: texts are long, and both the JVM and the Python worker hold a whole batch, or several.
+BATCH_ROWS = 1000
+
+
+def short_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``. Where that is unset (tests), a temporary folder is set, once."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
@@ -21,6 +29,7 @@ def folder(spark: SparkSession) -> str:
 def stash(df: DataFrame, **options: str) -> DataFrame:
     """The rows of ``df``, written to the shared folder and read again: cuts the lineage and survives lost executors."""
     spark, path = df.sparkSession, folder(df.sparkSession)
+    short_batches(spark)
     df.write.options(**({"compression": "zstd"} | options)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -39,4 +48,5 @@ def partitions(spark: SparkSession) -> int:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -33,13 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxtable.llm.kernel import U64, Words, cover, member, mix, rows_of, runs, whole
-from voxtable.llm.shared import partitions
+from voxtable.llm.shared import partitions, short_batches
+from voxtable.llm.shared import table as read_table
 
 WINDOW = 13
 #: Text of a group of documents: what one task of steps 2 and 3 holds at once.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
 #: Probes that a task of step 1 gathers before it sends them.
-SEND_WORDS = 3_000_000
+SEND_WORDS = 1_000_000
 PACKED = 5
 
 TEXTS = "grp int, doc_id long, z binary"
@@ -320,6 +321,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the white space around it (null for null). Columns named in ``carry`` come along as ``carry0``, ``carry1`` and so on.
     """
     spark, block = docs.sparkSession, (window + 1) // 2
+    short_batches(spark)
     # a sum sets the number of groups, so that a group's size doesn't grow with the input
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     groups = max(partitions(spark), -(-total // GROUP_BYTES))
@@ -334,7 +336,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, sf_dir, "documents")
     return deduplicate(docs).select("doc_id", "n_words", "n_removed", F.lower(F.hex("kept")).alias("kept_sha256"))
 
 
