@@ -168,6 +168,19 @@ def test_decontamination(spark, empty):
     assert decontamination.contaminated(docs, bench.where("item_id < 0")).count() == 0
 
 
+def found(spark, items: dict[int, str], texts: dict[int, str]) -> set[tuple[int, int]]:
+    """(doc_id, item_id) of the contaminated pairs."""
+    table = lambda x, name: spark.createDataFrame(list(x.items()), f"{name} long, text string")
+    return {(r.doc_id, r.item_id) for r in decontamination.contaminated(table(texts, "doc_id"), table(items, "item_id")).collect()}
+
+
+def test_decontamination_of_verbatim_copies(spark):
+    """An item of numbers, units or few tokens is found where it is copied, and only there."""
+    items = {1: "Compute 12 + 34 * 56 - 78 / 9 = ?", 2: " ".join(map(str, range(3, 90, 4))), 3: "5 km 7 kg 9 hours 2 cm 8 miles", 4: "Name Zorbl's capital", 5: "?!", 6: "Anna Berta Carl 3"}
+    texts = {10 + i: f"before it, {text} and after" for i, text in items.items()} | {20: "Compute 12 + 34 * 57 - 78 / 9 = ?", 21: items[3].replace("7", "6"), 22: "Name Zorbl's king", 23: "anna berta carl 4"}
+    assert found(spark, items, texts) == {(10 + i, i) for i in items if i != 5}
+
+
 def test_decontamination_against_brute_force(spark):
     """Over lower-case words without numbers, templates are the words: pairs are those that share 13 in a row."""
     rng = np.random.default_rng(5)

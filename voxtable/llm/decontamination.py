@@ -6,8 +6,10 @@ documents and benchmark items are hash-joined on the template; the values in a w
 item's values one to one, so a question with other numbers or names is found, and a mere likeness of form is not. Windows
 with names are also taken with the names spelt out, so that a copy in other capitals is found.
 
-Items of fewer than ``WINDOW`` tokens have one window of their whole length; items of fewer than ``LEAST`` tokens, and
-windows with fewer than half their tokens literal, are left out. A bitmap of fixed size made from the benchmark's
+Items of fewer than ``WINDOW`` tokens have one window of their whole length. Windows of fewer than ``LEAST`` tokens, and
+those with fewer than half their tokens literal, have no placeholders: every window is also taken with all its tokens
+spelt out, so a verbatim copy is found whatever it consists of. Punctuation is no token, so such a copy may differ in it,
+and an item of one or two tokens is found wherever they stand. A bitmap of fixed size made from the benchmark's
 windows is broadcast and drops nearly all of the documents' windows on the spot, before the join compares whole
 templates. The join itself has no side whose size is taken on trust: Spark chooses by the written sizes.
 
@@ -42,6 +44,8 @@ FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 
 WORD, NUMBER, NAME, UNIT = range(4)
+#: The form that spells all tokens.
+SPELT = 2
 HOLDERS = ("", "<number>", "<name>", "<unit>")
 HOLDER_HASH = mix(np.arange(4, dtype=U64) + U64(0x5A17))
 
@@ -93,20 +97,24 @@ class Tokens:
         unit &= np.isin(plain, unit_hashes())
         self.kind = np.select([number, unit, name], [NUMBER, UNIT, NAME], WORD)
         spelt = np.where(self.kind == NAME, WORD, self.kind)
-        self.forms = [(kind, np.where(kind == WORD, plain, HOLDER_HASH[kind]), sums(kind == WORD)) for kind in (self.kind, spelt)]
-        self.names = sums(self.kind == NAME)
+        self.forms = [(kind, np.where(kind == WORD, plain, HOLDER_HASH[kind]), sums(kind == WORD)) for kind in (self.kind, spelt, np.full_like(spelt, WORD))]
+        self.names, self.values = sums(self.kind == NAME), sums(spelt != WORD)
 
     def windows(self, k: int, form: int) -> tuple[np.ndarray, np.ndarray]:
-        """(first tokens, hashes) of the windows of k tokens with enough literal ones.
+        """(first tokens, hashes) of the windows of k tokens that have the form.
 
         Form 0 has names as placeholders; form 1 spells them, for windows that have some: so a copy in other capitals
-        is found too.
+        is found too. Both need enough literal tokens. Form 2 spells everything, for windows that have numbers or units
+        (the others are spelt out already) and for short ones.
         """
         _, hashes, literal = self.forms[form]
         room = np.repeat(self.first[1:], self.counts) - np.arange(len(self.text))
         at = np.flatnonzero(room >= k)
-        at = at[2 * (literal[at + k] - literal[at]) >= k]
-        if form:
+        if form < SPELT:
+            at = at[2 * (literal[at + k] - literal[at]) >= k] if k >= LEAST else at[:0]
+        elif k >= LEAST:
+            at = at[self.values[at + k] > self.values[at]]
+        if form == 1:
             at = at[self.names[at + k] > self.names[at]]
         return at, grams(hashes, k)[at]
 
@@ -132,7 +140,7 @@ def find(lengths: tuple[int, ...], bitmap=None, whole_only: bool = False):
             ids, rows = batch.column(0), batch.column(1)
             for start, words in rows_of(batch.column(2)):
                 tokens, out = Tokens(words), []
-                for k, form in itertools.product(lengths, (0, 1)):
+                for k, form in itertools.product(lengths, range(len(tokens.forms))):
                     at, hashes = tokens.windows(k, form)
                     if whole_only and k < WINDOW:  # an item's window is the whole item
                         keep = tokens.counts[tokens.text[at]] == k
@@ -168,9 +176,9 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, n_windows, n_exact (same values in all slots), first_word of each pair that shares a window."""
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col(item_text_col).alias("text"))
-    lengths = tuple(range(LEAST, WINDOW + 1))
+    lengths = tuple(range(1, WINDOW + 1))
     items = stash(items.mapInArrow(find(lengths, whole_only=True), FOUND))
-    # the lengths that occur, nine at most
+    # the lengths that occur, WINDOW at most
     used = tuple(sorted(r[0] for r in items.select("k").distinct().collect()))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.lit(0).cast("long").alias("row"), F.col(text_col).alias("text"))
     found = texts.mapInArrow(find(used, bitmap_of(items)), FOUND).alias("d")
