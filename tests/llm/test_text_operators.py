@@ -181,6 +181,15 @@ def test_decontamination_of_verbatim_copies(spark):
     assert found(spark, items, texts) == {(10 + i, i) for i in items if i != 5}
 
 
+def test_decontamination_of_names_that_start_sentences(spark):
+    items = {1: "Anna buys 12 apples. Berta buys 7 more. Carl eats 5. How many are left?", 2: "Anna has 3 plums. Berta has 4. Total?", 3: "Paul walks to the old red barn each day."}
+    texts = {
+        10: "noise Dora buys 9 apples. Emil buys 8 more. Fritz eats 2. How many are left?", 11: "Dora has 5 plums. Emil has 7. Total?", 12: "we saw that Karl walks to the old red barn each day.",
+        13: "Dora buys 9 apples. Emil sells 8 more. Dora eats 2. How much is left?", 14: "Dora has 5 plums. Emil has 7. Difference?", 15: "Dora Has 5 Plums. Emil Has 7. Some?", 16: ITEM.upper().lower().replace("anna", "berta"),
+    }
+    assert found(spark, items | {4: ITEM}, texts) == {(10, 1), (11, 2), (12, 3), (16, 4)}
+
+
 def test_decontamination_against_brute_force(spark):
     """Over lower-case words without numbers, templates are the words: pairs are those that share 13 in a row."""
     rng = np.random.default_rng(5)

@@ -4,7 +4,10 @@ Every text becomes a sequence of tokens: words without the punctuation around th
 (capitalised words inside a sentence) and units after a number are typed placeholders. Windows of ``WINDOW`` tokens of
 documents and benchmark items are hash-joined on the template; the values in a window's slots must then map to the
 item's values one to one, so a question with other numbers or names is found, and a mere likeness of form is not. Windows
-with names are also taken with the names spelt out, so that a copy in other capitals is found.
+with names are also taken with the names spelt out, so that a copy in other capitals is found, and with the capitalised
+words that start sentences as names, so that those may be renamed too. At least half of a window's tokens must be literal
+or names with the item's values. Names are known by their capitals: a copy in lower case is not found where each window
+holds a changed name.
 
 Items of fewer than ``WINDOW`` tokens have one window of their whole length. Windows of fewer than ``LEAST`` tokens, and
 those with fewer than half their tokens literal, have no placeholders: every window is also taken with all its tokens
@@ -44,8 +47,8 @@ FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 
 WORD, NUMBER, NAME, UNIT = range(4)
-#: The form that spells all tokens.
-SPELT = 2
+#: The forms that spell all tokens, and that has all capitalised words as names.
+SPELT, CAPITALS = 2, 3
 HOLDERS = ("", "<number>", "<name>", "<unit>")
 HOLDER_HASH = mix(np.arange(4, dtype=U64) + U64(0x5A17))
 
@@ -97,20 +100,26 @@ class Tokens:
         unit &= np.isin(plain, unit_hashes())
         self.kind = np.select([number, unit, name], [NUMBER, UNIT, NAME], WORD)
         spelt = np.where(self.kind == NAME, WORD, self.kind)
-        self.forms = [(kind, np.where(kind == WORD, plain, HOLDER_HASH[kind]), sums(kind == WORD)) for kind in (self.kind, spelt, np.full_like(spelt, WORD))]
-        self.names, self.values = sums(self.kind == NAME), sums(spelt != WORD)
+        self.forms = [(kind, np.where(kind == WORD, plain, HOLDER_HASH[kind]), sums(kind == WORD)) for kind in (self.kind, spelt, np.full_like(spelt, WORD), np.where((spelt == WORD) & upper[self.starts], NAME, spelt) if n else spelt)]
+        self.names, self.values, self.initials = sums(self.kind == NAME), sums(spelt != WORD), sums(self.forms[CAPITALS][0] != self.kind)
 
     def windows(self, k: int, form: int) -> tuple[np.ndarray, np.ndarray]:
         """(first tokens, hashes) of the windows of k tokens that have the form.
 
         Form 0 has names as placeholders; form 1 spells them, for windows that have some: so a copy in other capitals
         is found too. Both need enough literal tokens. Form 2 spells everything, for windows that have numbers or units
-        (the others are spelt out already) and for short ones.
+        (the others are spelt out already) and for short ones. Form 3 has all capitalised words as names, for windows in
+        which some start sentences, or that have too many names for form 0: a quarter literal, and half literal or names,
+        as only the join can tell whether names are equal.
         """
         _, hashes, literal = self.forms[form]
         room = np.repeat(self.first[1:], self.counts) - np.arange(len(self.text))
         at = np.flatnonzero(room >= k)
-        if form < SPELT:
+        if form == CAPITALS:
+            n, plain = literal[at + k] - literal[at], self.forms[0][2]
+            keep = (4 * n >= k) & (2 * (k - self.values[at + k] + self.values[at]) >= k)
+            at = at[keep & ((self.initials[at + k] > self.initials[at]) | (2 * (plain[at + k] - plain[at]) < k))] if k >= LEAST else at[:0]
+        elif form < SPELT:
             at = at[2 * (literal[at + k] - literal[at]) >= k] if k >= LEAST else at[:0]
         elif k >= LEAST:
             at = at[self.values[at + k] > self.values[at]]
@@ -118,15 +127,16 @@ class Tokens:
             at = at[self.names[at + k] > self.names[at]]
         return at, grams(hashes, k)[at]
 
-    def window(self, at: int, k: int, form: int) -> tuple[str, list[str]]:
-        """(template, values of its slots)."""
+    def window(self, at: int, k: int, form: int) -> tuple[str, list[str], list[str]]:
+        """(template, values of its slots, the same with their types)."""
         span, kind = range(at, at + k), self.forms[form][0]
         value = [self.lower[self.starts[i] : self.ends[i]].tobytes().decode(errors="replace") for i in span]
-        return " ".join(HOLDERS[kind[i]] or v for i, v in zip(span, value, strict=True)), [v for i, v in zip(span, value, strict=True) if kind[i] != WORD]
+        slots = [(HOLDERS[kind[i]], v) for i, v in zip(span, value, strict=True) if kind[i] != WORD]
+        return " ".join(HOLDERS[kind[i]] or v for i, v in zip(span, value, strict=True)), [v for _, v in slots], [t + v for t, v in slots]
 
 
-FOUND = "h long, id long, row long, at int, k int, template string, slots array<string>"
-FOUND_ARROW = [("h", pa.int64()), ("id", pa.int64()), ("row", pa.int64()), ("at", pa.int32()), ("k", pa.int32()), ("template", pa.string()), ("slots", pa.list_(pa.string()))]
+FOUND = "h long, id long, row long, at int, k int, template string, slots array<string>, keys array<string>"
+FOUND_ARROW = [("h", pa.int64()), ("id", pa.int64()), ("row", pa.int64()), ("at", pa.int32()), ("k", pa.int32()), ("template", pa.string()), ("slots", pa.list_(pa.string())), ("keys", pa.list_(pa.string()))]
 
 
 def spots(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,7 +196,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     n = lambda c: F.size(F.array_distinct(c))
     pairs = n(F.arrays_zip(F.col("d.slots").alias("a"), F.col("i.slots").alias("b")))
     consistent = (pairs == n(F.col("d.slots"))) & (pairs == n(F.col("i.slots")))
-    return same.where(consistent).groupBy(F.col("d.id").alias("doc_id"), F.col("i.id").alias("item_id")).agg(
+    equal = F.size(F.filter(F.arrays_zip(F.col("d.keys").alias("a"), F.col("i.keys").alias("b")), lambda x: (x["a"] == x["b"]) & x["a"].startswith(HOLDERS[NAME])))
+    enough = 2 * (F.col("i.k") - F.size("i.slots") + equal) >= F.col("i.k")
+    return same.where(consistent & enough).groupBy(F.col("d.id").alias("doc_id"), F.col("i.id").alias("item_id")).agg(
         F.count_distinct("d.at").alias("n_windows"), F.count_distinct(F.when(F.col("d.slots") == F.col("i.slots"), F.col("d.at"))).alias("n_exact"), F.min("d.at").cast("long").alias("first_word")
     )
 
