@@ -190,6 +190,13 @@ def test_decontamination_of_names_that_start_sentences(spark):
     assert found(spark, items | {4: ITEM}, texts) == {(10, 1), (11, 2), (12, 3), (16, 4)}
 
 
+def test_decontamination_of_values_that_become_equal(spark):
+    """Equal values of the item stay equal; different ones may become so, and a unit may change its form."""
+    items = {1: "she bought 3 apples and 5 pears at the shop today", 2: "it took 2 hours there and then 3 hours back", 3: "gave 3 apples and then 3 pears to my friend"}
+    texts = {10: items[1].replace("3", "4").replace("5", "4"), 11: items[2].replace("2 hours", "1 hour"), 12: items[2].replace("3 hours", "50 minutes"), 13: items[3].replace("3 apples", "4 apples"), 14: items[3].replace("3", "8")}
+    assert found(spark, items, texts) == {(10, 1), (11, 2), (14, 3)}
+
+
 def test_decontamination_against_brute_force(spark):
     """Over lower-case words without numbers, templates are the words: pairs are those that share 13 in a row."""
     rng = np.random.default_rng(5)

@@ -2,8 +2,8 @@
 
 Every text becomes a sequence of tokens: words without the punctuation around them, in lower case, where numbers, names
 (capitalised words inside a sentence) and units after a number are typed placeholders. Windows of ``WINDOW`` tokens of
-documents and benchmark items are hash-joined on the template; the values in a window's slots must then map to the
-item's values one to one, so a question with other numbers or names is found, and a mere likeness of form is not. Windows
+documents and benchmark items are hash-joined on the template; equal values of one type in the item's
+slots must then have equal values in the document's, units in whichever form, so a question with other numbers or names is found, and a mere likeness of form is not. Windows
 with names are also taken with the names spelt out, so that a copy in other capitals is found, and with the capitalised
 words that start sentences as names, so that those may be renamed too. At least half of a window's tokens must be literal
 or names with the item's values. Names are known by their capitals: a copy in lower case is not found where each window
@@ -36,7 +36,9 @@ from voxtable.llm.shared import stash, table
 WINDOW, LEAST = 13, 5
 BITS = 24
 #: Units of measure that become placeholders after a number.
-UNITS = "mm cm m km mg g kg t ml l s sec second seconds min minute minutes h hour hours day days week weeks month months year years inch inches foot feet yard yards mile miles ounce ounces pound pounds gallon gallons litre litres liter liters metre metres meter meters kilometre kilometres kilometer kilometers gram grams kilogram kilograms dollar dollars euro euros cent cents percent degree degrees".split()
+UNIT_FORMS = "mm,cm,m metre metres meter meters,km kilometre kilometres kilometer kilometers,mg,g gram grams,kg kilogram kilograms,t,ml,l litre litres liter liters,s sec second seconds,min minute minutes,h hour hours,day days,week weeks,month months,year years,inch inches,foot feet,yard yards,mile miles,ounce ounces,pound pounds,gallon gallons,dollar dollars,euro euros,cent cents,percent,degree degrees"
+#: The first form of each unit, by form.
+UNITS = {form: group.split()[0] for group in UNIT_FORMS.split(",") for form in group.split()}
 
 CORE = np.zeros(256, bool)
 CORE[48:58] = CORE[65:91] = CORE[97:123] = CORE[128:] = True
@@ -128,11 +130,11 @@ class Tokens:
         return at, grams(hashes, k)[at]
 
     def window(self, at: int, k: int, form: int) -> tuple[str, list[str], list[str]]:
-        """(template, values of its slots, the same with their types)."""
+        """(template, values of its slots, the same with their types and units in one form)."""
         span, kind = range(at, at + k), self.forms[form][0]
         value = [self.lower[self.starts[i] : self.ends[i]].tobytes().decode(errors="replace") for i in span]
         slots = [(HOLDERS[kind[i]], v) for i, v in zip(span, value, strict=True) if kind[i] != WORD]
-        return " ".join(HOLDERS[kind[i]] or v for i, v in zip(span, value, strict=True)), [v for _, v in slots], [t + v for t, v in slots]
+        return " ".join(HOLDERS[kind[i]] or v for i, v in zip(span, value, strict=True)), [v for _, v in slots], [t + (UNITS[v] if t == HOLDERS[UNIT] else v) for t, v in slots]
 
 
 FOUND = "h long, id long, row long, at int, k int, template string, slots array<string>, keys array<string>"
@@ -194,9 +196,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = texts.mapInArrow(find(used, bitmap_of(items)), FOUND).alias("d")
     same = found.join(items.alias("i"), (F.col("d.h") == F.col("i.h")) & (F.col("d.k") == F.col("i.k")) & (F.col("d.template") == F.col("i.template")))
     n = lambda c: F.size(F.array_distinct(c))
-    pairs = n(F.arrays_zip(F.col("d.slots").alias("a"), F.col("i.slots").alias("b")))
-    consistent = (pairs == n(F.col("d.slots"))) & (pairs == n(F.col("i.slots")))
-    equal = F.size(F.filter(F.arrays_zip(F.col("d.keys").alias("a"), F.col("i.keys").alias("b")), lambda x: (x["a"] == x["b"]) & x["a"].startswith(HOLDERS[NAME])))
+    pairs = F.arrays_zip(F.col("d.keys").alias("a"), F.col("i.keys").alias("b"))
+    consistent = n(pairs) == n(F.col("i.keys"))
+    equal = F.size(F.filter(pairs, lambda x: (x["a"] == x["b"]) & x["a"].startswith(HOLDERS[NAME])))
     enough = 2 * (F.col("i.k") - F.size("i.slots") + equal) >= F.col("i.k")
     return same.where(consistent & enough).groupBy(F.col("d.id").alias("doc_id"), F.col("i.id").alias("item_id")).agg(
         F.count_distinct("d.at").alias("n_windows"), F.count_distinct(F.when(F.col("d.slots") == F.col("i.slots"), F.col("d.at"))).alias("n_exact"), F.min("d.at").cast("long").alias("first_word")
