@@ -35,6 +35,14 @@ def test_units(one):
         one(U.unit_char(F.lit(65534)))
 
 
+def test_units_of_both_areas(one):
+    assert one(U.unit_string(array(65536))) == chr(0x100000)
+    assert one(U.string_units(U.unit_string(array(65533, 65536, 128657, 131069)))) == [65533, 65536, 128657, 131069]
+    for i in (-1, 65535, 131070, 131071, 131072):
+        with pytest.raises(Exception, match="private use"):
+            one(U.unit_char(F.lit(i)))
+
+
 def test_runs(one):
     assert one(U.collapse(array(1, 1, 2, 2, 1))) == [1, 2, 1]
     assert one(U.detokenize(array(3, 3, -1, 3, 4), as_labels=True)) == [3, 4]

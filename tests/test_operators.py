@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -169,6 +170,26 @@ def test_vocabulary(spark):
     assert vocab.extend_embeddings(emb, 8, strategy="default").where("id = 7").first().vec == [0.0, 0.0]
 
 
+def test_edits_of_many_words(spark):
+    many = [f"w{i}" for i in range(140_000)]
+    changed = [*many[:70_000], "x", *many[70_001:70_010], *many[70_011:]]
+    pairs = [(0, " ".join(many), " ".join(changed)), (1, "a b", "a c d"), (2, " ".join(many), ""), (3, None, " ".join(many)), (4, " ".join(many), None)]
+    df = spark.createDataFrame(pairs, "idx long, ref string, hyp string")
+    assert {r.idx: r.e for r in df.select("idx", evaluate.edits("ref", "hyp").alias("e")).collect()} == {0: 2, 1: 2, 2: 140_000, 3: None, 4: None}
+
+
+def test_word_distance():
+    rng = random.Random(4)
+    for _ in range(200):
+        a, b = (rng.choices("xyz", k=rng.randrange(9)) for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        assert evaluate.word_distance(a, b) == row[-1]
+
+
 def test_scores(spark):
     df = spark.createDataFrame([(0, "the cat sat", "the bat sat down"), (1, "a b", "a b"), (2, "", "x")], "idx long, ref string, hyp string")
     assert df.orderBy("idx").select(evaluate.edits("ref", "hyp")).collect()[0][0] == 2

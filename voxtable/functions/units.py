@@ -9,8 +9,8 @@ from voxtable.functions.bind import bind
 
 #: Fixed value: the first code point of supplementary private use area A.
 FIRST = 983040
-#: How many units the area holds (its last two code points are no characters).
-MOST = 65534
+#: Code points of a plane, and how many of them are private use in either area (the last two are no characters).
+PLANE, MOST = 65536, 65534
 PAD = -1
 
 
@@ -19,9 +19,9 @@ def _col(x: Column | str) -> Column:
 
 
 def unit_char(i: Column | str) -> Column:
-    """The private-use character of unit i. Raises outside the area, as the unit would not be private use."""
+    """The private-use character of unit i, of area A or B. Raises outside them, as the unit would not be private use."""
     i = _col(i).cast("int")
-    ok = (i >= 0) & (i < MOST)
+    ok = (i >= 0) & (i < 2 * PLANE) & (i % PLANE < MOST)
     code = F.lpad(F.hex((i + FIRST).cast("long")), 8, "0")
     return F.when(i.isNotNull() & F.assert_true(ok, F.lit("a unit is outside the private use area")).isNull(), F.decode(F.unhex(code), "UTF-32"))
 
