@@ -109,12 +109,12 @@ def drop_bad(spark, d):
 
 # Joins
 
-STATUS = F.when(F.col("o_orderstatus") == "F", "train").when(F.col("o_orderstatus") == "O", "train_covost").otherwise("dev_covost")
+STATUS = "CASE WHEN o_orderstatus = 'F' THEN 'train' WHEN o_orderstatus = 'O' THEN 'train_covost' ELSE 'dev_covost' END"
 STATUS_SQL = "CASE o_orderstatus WHEN 'F' THEN 'train' WHEN 'O' THEN 'train_covost' ELSE 'dev_covost' END"
 
 
 def _splits(spark, d, version, split):
-    rows = table(spark, d, "orders").withColumn("split", STATUS).withColumnRenamed("o_custkey", "c_custkey")
+    rows = table(spark, d, "orders").withColumn("split", F.expr(STATUS)).withColumnRenamed("o_custkey", "c_custkey")
     return R.inner_on(R.split_rows(rows, split, version), table(spark, d, "customer"), "c_custkey").select("o_orderkey", "c_name", "split")
 
 
