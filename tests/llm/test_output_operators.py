@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from voxtable.llm import chat_format, packing, sharding, token_output, warc
@@ -37,6 +38,25 @@ def test_sharding(docs, rows, bucket_rows, monkeypatch):
             assert abs(n - totals[source] * len(v) / len(rows)) <= 2
     again = sharding.assign(docs.repartition(5), k).collect()
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
+    order = slow_order(rows)
+    assert [(r.doc_id, r.text_crc32) for r in sorted(got, key=lambda r: (r.shard, r.slot))] == [order[p] for p in range(len(rows))]
+
+
+def slow_order(rows) -> list[tuple]:
+    """(id, checksum) in the interleaved order, by plain sorting; hashes as the engine's own function gives them."""
+    import pyspark.sql
+
+    spark = pyspark.sql.SparkSession.getActiveSession()
+    flat = [(r[0], r[3], zlib.crc32((r[1] or "").encode()), len((r[1] or "").encode()) + 16) for r in rows]
+    hashed = spark.createDataFrame(flat, "i long, s string, c long, n long").withColumns({"h": F.xxhash64(F.lit(sharding.SEED), "i", "c", "n"), "t": F.coalesce(F.concat(F.lit("s"), "s"), F.lit("n"))}).withColumn("g", F.xxhash64(F.lit(sharding.SEED), "t")).collect()
+    low = lambda x: (x is not None, x)
+    by_source, placed = defaultdict(list), []
+    for r in hashed:
+        by_source[r.t].append(r)
+    for t, group in by_source.items():
+        group.sort(key=lambda r: (r.h, low(r.i), r.c))
+        placed += [((k + 0.5) / len(group), r.g, t, r.h, low(r.i), r.c) for k, r in enumerate(group)]
+    return [(p[4][1], p[5]) for p in sorted(placed)]
 
 
 def test_sharding_files(spark, docs, rows, empty):
@@ -46,6 +66,27 @@ def test_sharding_files(spark, docs, rows, empty):
     assert sharding.assign(empty).count() == 0
 
 
+def test_sharding_keeps_columns_with_its_own_names(spark):
+    rows = [(k, f"t{k}", "s", 7 * k, k % 3, "x") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size long, slot int, Shard string")
+    sharding.write_shards(docs, path := folder(spark), 4)
+    got = spark.read.parquet(path).collect()
+    assert sorted((r.doc_id, r.text, r.size_, r.slot_, r.Shard_) for r in got) == [(k, t, n, m, x) for k, t, _, n, m, x in rows]
+    assert all(r.size == len(r.text) + 16 for r in got)
+
+
+@pytest.mark.parametrize("case", ["one-row sources", "one row many times"])
+def test_sharding_has_no_hot_range(spark, monkeypatch, case):
+    """Thousands of rows with one fractional rank, and one row that is repeated, are cut into ranges as any others."""
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 100)
+    n, sizes, plain = 2000, [], sharding.ranges
+    monkeypatch.setattr(sharding, "ranges", lambda *a: [made := plain(*a), sizes.append(max(r["count"] for r in made.groupBy("__part").count().collect()))][0])
+    docs = spark.range(n).select(F.when(F.lit(case[4] == "r"), F.col("id")).otherwise(F.lit(5)).alias("doc_id"), F.lit("t").alias("text"), F.when(F.lit(case[4] == "r"), F.col("id").cast("string")).otherwise("s").alias("source"))
+    got = sharding.assign(docs, 8)
+    assert len(sizes) == 2 and max(sizes) < 400
+    assert sorted((r.shard, r.slot) for r in got.collect()) == [(s, k) for s in range(8) for k in range(n // 8)]
+
+
 TURNS = st.lists(st.tuples(st.integers(0, 2), st.one_of(st.none(), st.sampled_from(["user", "assistant", "system", "<|end|>"])), st.one_of(st.none(), st.text(alphabet="a<|>&;[]/INSTtextmore\né", max_size=12))), min_size=1, max_size=9)
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,22 +22,42 @@ def short_batches(spark: SparkSession) -> None:
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``. Where that is unset (tests), a temporary folder is set, once."""
+    """A new folder below ``spark.checkpoint.dir``.
+
+    Where that is unset, a session whose executors are threads of the driver (tests, bench) gets a temporary folder, once,
+    which goes with the process. On a cluster executors couldn't see such a folder, so there it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="voxtable-")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="voxtable-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+        base = f"file://{base}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, **options: str) -> DataFrame:
-    """The rows of ``df``, written to the shared folder and read again: cuts the lineage and survives lost executors."""
+def stash(df: DataFrame, into: list[str] | None = None, **options: str) -> DataFrame:
+    """The rows of ``df``, written to the shared folder and read again: cuts the lineage and survives lost executors.
+
+    ``into`` gets the table's path, for ``drop_tables`` once nothing reads it any more.
+    """
     spark, path = df.sparkSession, folder(df.sparkSession)
     short_batches(spark)
     df.write.options(**({"compression": "zstd"} | options)).parquet(path)
+    if into is not None:
+        into.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Deletes tables of the shared folder, on whatever file system it is."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 #: Numbers (long) in a table that is broadcast at most: its hash table stays near 64 MB whatever the input's size.
 MOST_NUMBERS = 2_000_000
 
@@ -47,6 +71,23 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Shuffle partitions at most, however large the input: beyond this each holds more, in groups or runs of bounded size.
+MOST_PARTITIONS = 20_000
+
+
+def parts_for(spark: SparkSession, amount: int, each: int) -> int:
+    """Shuffle partitions for an amount of which ``each`` is meant for one; between the session's number and the most."""
+    return max(partitions(spark), min(MOST_PARTITIONS, -(-amount // each)))
+
+
+def free(name: str, taken: Iterable[str]) -> str:
+    """``name``, or ``name_`` and so on until none of ``taken`` (in any case of letters) is equal."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
