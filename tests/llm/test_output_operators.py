@@ -111,9 +111,29 @@ def test_chat_format(spark, talks):
         assert f.count("<|turn|>") == 1 + sum(a[1] != b[1] for a, b in zip(turns, turns[1:]))
 
 
+def test_chat_format_of_long_and_no_conversations(spark, monkeypatch):
+    """Blocks and mask over several chunks; the loss follows the mask, not the roles."""
+    monkeypatch.setattr(chat_format, "CHUNK", 4)
+    roles = ["user", "assistant", "assistant", "assistant", "assistant", "assistant", "user", "user", "assistant"]
+    talk = [(1, k, roles[k % 9], f"t{k}<é>") for k in range(41)]
+    rows = spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")
+    made = chat_format.format_conversations(rows).cache()
+    want = ""
+    for k, (_, _, role, text) in enumerate(talk):
+        text = text.replace("<", "&lt;")
+        want += f"<|more|>{text}" if k and talk[k - 1][2] == role else ("<|end|>" if k else "") + f"<|turn|>{role}<|text|>{text}"
+    assert made.first().formatted == want + "<|end|>"
+    learnt = "".join(t for _, _, role, t in talk if role == "assistant")
+    assert chat_format.digest(made).first().loss_sha256 == hashlib.sha256(learnt.encode()).hexdigest()
+    changed = made.withColumn("loss_runs", F.transform("loss_runs", lambda r: F.struct((~r["loss"]).alias("loss"), r["chars"].alias("chars"))))
+    assert chat_format.digest(changed).first().loss_sha256 != hashlib.sha256(learnt.encode()).hexdigest()
+    assert chat_format.digest(chat_format.format_conversations(rows.where("conv_id = 2"))).count() == 0
+
+
 def test_chat_format_is_native(spark):
     rows = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
     plan = chat_format.digest(chat_format.format_conversations(rows))._jdf.queryExecution().toString()
+    assert "loss_runs" in plan
     assert "Python" not in plan and "Arrow" not in plan
 
 

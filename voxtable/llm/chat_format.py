@@ -1,12 +1,14 @@
 """Relational chat formatting (operator 2), with DataFrame functions only.
 
-A conversation's turns are collected as structs and sorted; adjacent turns of one role are merged into one block by
-slicing the sorted array at the places where the role changes; texts and markers are concatenated.
+A conversation's turns are collected as structs and sorted; an aggregation over the array merges adjacent turns of one
+role into one block; texts and markers are concatenated. Merging is associative, so it runs over chunks of ``CHUNK``
+turns and then over the chunks: a long conversation isn't copied once for each of its turns.
 
     <|turn|>role<|text|>first text<|more|>second text of the same role<|end|>
 
 Markers begin with ``<``; inside roles and texts ``&``, ``<`` and ``[`` are written ``&amp;``, ``&lt;`` and ``&#91;``, so
-no text can hold a marker or another template's control string, and reading back gives exactly the turns.
+no text can hold a marker or another template's control string, and reading back gives exactly the turns. The loss mask
+goes with the string as runs of characters; what is learnt is cut from the string by that mask alone.
 
 Defined results: turns are ordered by (turn, role, text), nulls first; null roles and texts are empty; rows with the
 same turn number are all kept; conversations with a null id are one; an empty table gives no rows; further columns
@@ -15,14 +17,19 @@ don't matter. One conversation is one row of the output, so a task holds the lon
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxtable.functions.bind import bind
 from voxtable.llm.shared import table
 
 TURN, TEXT, MORE, END = "<|turn|>", "<|text|>", "<|more|>", "<|end|>"
 ESCAPES = (("&", "&amp;"), ("<", "&lt;"), ("[", "&#91;"))
 LEARNED_ROLE = "assistant"
+#: Turns, or runs of the mask, that are worked on at once.
+CHUNK = 128
 PROBE = "</s>[INST] ok [/INST]"
 
 
@@ -42,13 +49,42 @@ def pattern(marker: str) -> str:
     return marker.replace("|", r"\|")
 
 
+def chunks(items: Column) -> Column:
+    """The array in slices of ``CHUNK``."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int")), lambda c: F.slice(items, c * CHUNK + 1, F.lit(CHUNK)))
+
+
+def merge(done: Column, more: Column) -> Column:
+    """Two lists of blocks as one: a block goes into the one before it if they have the same role."""
+    last, first = F.try_element_at(done, F.lit(-1)), F.try_element_at(more, F.lit(1))
+    both = F.struct(last["role"].alias("role"), F.concat(last["texts"], first["texts"]).alias("texts"))
+    joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(both), F.slice(more, 2, F.size(more)))
+    return F.when(last["role"] == first["role"], joined).otherwise(F.concat(done, more))
+
+
 def blocks(turns: Column) -> Column:
     """array<struct<role, texts>>: adjacent turns of one role merged."""
-    n = F.size(turns)
-    role = lambda i: F.element_at(turns, i)["role"]
-    starts = F.filter(F.sequence(F.lit(1), n), lambda i: F.when(i == 1, True).otherwise(role(i) != role(F.greatest(i - 1, F.lit(1)))))
-    spans = F.arrays_zip(starts.alias("a"), F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(n + 1)).alias("b"))
-    return F.transform(spans, lambda s: F.struct(role(s["a"]).alias("role"), F.transform(F.slice(turns, s["a"], s["b"] - s["a"]), lambda t: t["text"]).alias("texts")))
+    none = F.array().cast("array<struct<role:string,texts:array<string>>>")
+    one = lambda t: F.array(F.struct(t["role"].alias("role"), F.array(t["text"]).alias("texts")))
+    parts = F.transform(chunks(turns), lambda c: F.aggregate(c, none, lambda done, t: merge(done, one(t))))
+    return F.aggregate(parts, none, merge)
+
+
+def pieces(text: Column, runs: Column, keep: Callable[[Column], Column] = lambda run: F.lit(True)) -> Column:
+    """The stretches of ``text`` of the runs that are kept; a run has ``chars`` characters, and they follow one another."""
+    start = F.struct(F.lit(1).cast("int").alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(done: Column, run: Column) -> Column:
+        piece = F.array(F.substring(text, done["at"], run["chars"].cast("int")))
+        return F.struct((done["at"] + run["chars"].cast("int")).alias("at"), F.when(keep(run), F.concat(done["out"], piece)).otherwise(done["out"]).alias("out"))
+
+    return F.aggregate(runs, start, step)["out"]
+
+
+def under_mask(text: Column, runs: Column) -> Column:
+    """array<string>: the stretches of ``text`` under the loss mask, cut in two steps: by chunks of runs, then by runs."""
+    parts = F.transform(chunks(runs), lambda c: F.struct(c.alias("runs"), F.aggregate(c, F.lit(0).cast("long"), lambda n, run: n + run["chars"]).alias("chars")))
+    return bind(parts, lambda p: F.flatten(F.transform(F.arrays_zip(p.alias("part"), pieces(text, p).alias("text")), lambda x: pieces(x["text"], x["part"]["runs"], lambda run: run["loss"]))))
 
 
 def format_conversations(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -81,10 +117,11 @@ def read_back(formatted: Column) -> Column:
 
 
 def digest(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """The counts and digests of conversations, from what was formatted."""
+    """The counts and digests of conversations, from what was formatted and its loss mask."""
     read = formatted.withColumn("__back", read_back(F.col("formatted")))
     lines = F.array_join(F.transform("__back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("__back", lambda t: t["role"] == LEARNED_ROLE), lambda t: t["text"]), "")
+    read = read.withColumn("__loss", F.array_join(F.transform(under_mask(F.col("formatted"), F.col("loss_runs")), unescape), ""))
+    loss = F.col("__loss")
     return read.select(
         id_col,
         F.size("__back").cast("long").alias("n_turns"),
