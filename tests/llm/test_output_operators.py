@@ -143,6 +143,8 @@ def test_warc(spark, monkeypatch):
     monkeypatch.setattr(warc, "RECORDS_PER_FILE", 3)
     odd = "WARC/1.1\r\n\r\n\r\n0\r\n\r\nContent-Length: 5\r\n" * 60
     pages = [(1, "http://a/ü x\n", "é" * 900), (2, None, "é" * 900), (3, "u", "short"), (4, "u", "short"), (5, "u", None), (6, "", ""), (7, "u", odd), (7, "u", odd), (8, "u", odd), (None, "u", "n" * 150), (9, "u", "n" * 150), (None, "u", "m" * 2000), (10, "u", "x" * 99), (11, "u", "x" * 99)]
+    # an id with several payloads, both cut into segments, one with a copy elsewhere
+    pages += [(12, "u", "p" * 2500), (12, "v", "q" * 3000), (12, "w", "q" * 3000), (12, "u", "r" * 20), (13, "u", "q" * 3000)]
     df = spark.createDataFrame([(*p, "k") for p in pages], "page_id long, url string, html string, digest string").repartition(3)
     path = folder(spark)
     warc.write(df, path)

@@ -11,8 +11,9 @@ Reading: files are parsed record by record. Whole records are decoded on the spo
 origin, ordered by segment number, checked for gaps and against the total length, and then decoded. Payloads only move
 where a record was cut, and never for the search for equal payloads, which compares digests.
 
-Defined results: a null html is an empty payload; rows with the same id and payload are all responses (their record ids
-get a suffix); a null id never is a response that others refer to, unless all equal payloads have null ids; a null url
+Defined results: a null html is an empty payload, a very long one is cut into as many segments as it needs; every row of
+an id that occurs more than once has a record id of its own (a suffix), whatever its payload; rows with the same id and
+payload are all responses, or all revisits of a smaller id; ties can't occur otherwise; a null id never is a response that others refer to, unless all equal payloads have null ids; a null url
 has no header; an empty table gives no rows; further columns don't matter.
 """
 
@@ -124,7 +125,9 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     each = stash(rows.select("page_id", "digest", F.octet_length("html").alias("n")))
     first = each.where(F.col("n") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("times")).where("times > 1")
     revisits = each.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).select("page_id", "digest", F.col("first").alias("refers_to"))
-    repeated = each.groupBy("page_id", "digest").count().where("count > 1").select("page_id", "digest", F.lit(True).alias("repeated"))
+    # a count for each id, with partial sums; few ids are left, and of those each payload once
+    several = each.where("page_id is not null").groupBy("page_id").count().where("count > 1").select("page_id")
+    repeated = each.join(several, "page_id").select("page_id", "digest", F.lit(True).alias("repeated")).distinct()
     # only what needs a remark is joined to the pages: its written size lets Spark choose to broadcast it or not
     notes = revisits.distinct().withColumn("repeated", F.lit(False)).unionByName(repeated.withColumn("refers_to", F.lit(None).cast("long")))
     notes = stash(notes.groupBy("page_id", "digest").agg(F.max("refers_to").alias("refers_to"), F.max("repeated").alias("repeated"))).alias("n")
