@@ -61,6 +61,14 @@ def test_quality_policies_and_ablation(docs, empty):
     assert quality_rules.ledger(empty).count() == quality_rules.passing(empty).count() == 0
 
 
+def test_quality_ledger_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c " * 9, 5, "x"), (2, "one two", 6, "y")], "doc_id long, text string, n_words int, Fail_bits string")
+    got = {r.doc_id: r for r in quality_rules.ledger(docs, keep=("n_words", "text", "Fail_bits", "doc_id")).collect()}
+    assert [(got[k].n_words, got[k].n_words_, got[k].Fail_bits_, got[k].text) for k in (1, 2)] == [(27, 5, "x", "a b c " * 9), (2, 6, "y", "one two")]
+    assert quality_rules.passing(docs, policy=("long_words",)).collect() == docs.collect()
+    assert quality_rules.passing(docs, policy=("few_words",)).collect() == docs.where("doc_id = 1").collect()
+
+
 def dedup_of(rows: list[tuple], n: int) -> Counter:
     least = defaultdict(lambda: float("inf"))
     for r in rows:

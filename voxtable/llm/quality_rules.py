@@ -5,7 +5,8 @@ measurements and one failure bit per rule. Policies are versioned sets of rules:
 ``ablation`` only look at bits, so a new policy never reads texts again.
 
 Defined results: a null text has no words (so it fails FEW_WORDS), as has a text of separators only; a null id is
-carried through; repeated rows are each judged; further columns of the input don't matter.
+carried through; repeated rows are each judged; a very long text is measured as a whole; there are no ties; an empty table
+gives no rows, and an ablation of zeros; further columns of the input don't matter.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxtable.llm.kernel import BLOCK_BYTES, U64, Words, blocks, cover, mix, text_arrays, whole
-from voxtable.llm.shared import short_batches, table
+from voxtable.llm.shared import free, short_batches, table
 
 REPEAT_WINDOW = 5
 SYMBOLS = b"#*$%&|<>"
@@ -98,8 +99,16 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, the measurements and ``fail_bits`` (long) of each row; ``keep`` names further columns to carry along."""
-    picked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *keep)
+    """id, the measurements and ``fail_bits`` (long) of each row; ``keep`` names further columns to carry along.
+
+    Carried columns keep their names, with underscores at the end where the ledger's own columns have them.
+    """
+    own = (id_col, *MEASURES, "fail_bits")
+    names = [free(c, own) for c in keep if c != id_col]
+    picked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *(F.col(c).alias(f"__k{k}") for k, c in enumerate(c for c in keep if c not in (id_col, text_col))))
+    places = iter(range(2, len(picked.columns)))
+    at = [1 if c == text_col else next(places) for c in keep if c != id_col]  # a carried text isn't sent twice
+    types = [t for _, t in picked.dtypes]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,31 +118,19 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
             bits = np.zeros(len(batch), np.int64)
             for name, fails in RULES.items():
                 bits |= np.where(fails(found), BIT[name], 0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(found[k]) for k in MEASURES), pa.array(bits), *batch.columns[2:]],
-                names=[id_col, *MEASURES, "fail_bits", *keep],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[k]) for k in MEASURES), pa.array(bits), *(batch.column(k) for k in at)], names=[*own, *names])
 
-    types = dict(picked.dtypes)
-    schema = ", ".join([f"`{id_col}` {types['__id']}", *(f"{k} long" for k in MEASURES), "fail_bits long", *(f"`{k}` {types[k]}" for k in keep)])
-    return picked.mapInArrow(run, schema)
+    schema = [f"`{id_col}` {types[0]}", *(f"{k} long" for k in MEASURES), "fail_bits long", *(f"`{n}` {types[k]}" for n, k in zip(names, at, strict=True))]
+    return picked.mapInArrow(run, ", ".join(schema))
 
 
-def passing(docs: DataFrame, text_col: str = "text", policy: str = CURRENT) -> DataFrame:
-    """The rows of ``docs``, all their columns unchanged, that no rule of the policy fails. One pass, no shuffle."""
-    at, rejects = docs.columns.index(text_col), mask(policy)
+def passing(docs: DataFrame, text_col: str = "text", policy: str | tuple[str, ...] = CURRENT) -> DataFrame:
+    """The rows of ``docs``, all their columns unchanged, that the policy keeps by their ledger bits. One pass, no shuffle."""
     short_batches(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_arrays(batch.column(at))
-            bad = [np.zeros(0, bool)]
-            for a, b in blocks(offsets, BLOCK_BYTES):
-                found = measure(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                bad.append(np.any([fails_(found) for name, fails_ in RULES.items() if BIT[name] & rejects], axis=0))
-            yield batch.filter(pa.array(~np.concatenate(bad)))
-
-    return docs.mapInArrow(run, docs.schema)
+    numbered = [f"__c{k}" for k in range(len(docs.columns))]
+    text = numbered[docs.columns.index(text_col)]
+    rows = ledger(docs.toDF(*numbered).withColumn("__none", F.lit(None).cast("long")), "__none", text, tuple(numbered))
+    return apply_policy(rows, policy).where("kept").select(*(F.col(c).alias(n) for c, n in zip(numbered, docs.columns, strict=True)))
 
 
 def mask(policy: str | tuple[str, ...]) -> int:
@@ -144,9 +141,9 @@ def fails(policy: str | tuple[str, ...], bits: Column | None = None) -> Column:
     return ((F.col("fail_bits") if bits is None else bits).bitwiseAND(F.lit(mask(policy)).cast("long"))) != 0
 
 
-def apply_policy(rows: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """Adds ``policy`` and ``kept``."""
-    return rows.withColumns({"policy": F.lit(policy), "kept": ~fails(policy)})
+def apply_policy(rows: DataFrame, policy: str | tuple[str, ...] = CURRENT) -> DataFrame:
+    """Adds ``policy`` (its version, or its rules) and ``kept``."""
+    return rows.withColumns({"policy": F.lit(policy if isinstance(policy, str) else "+".join(policy)), "kept": ~fails(policy)})
 
 
 def ablation(rows: DataFrame, policy: str = CURRENT) -> DataFrame:
@@ -172,6 +169,10 @@ def query(spark, sf_dir: str) -> DataFrame:
     return apply_policy(ledger(docs)).select("doc_id", *MEASURES, "fail_bits", fails(BASE).alias("base_failed"), "policy", "kept")
 
 
+def ablation_query(spark, sf_dir: str) -> DataFrame:
+    return ablation(ledger(table(spark, sf_dir, "documents")))
+
+
 SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT rid, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
@@ -190,3 +191,10 @@ f AS (SELECT *, (CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_re
       + CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars > 25 * n_words THEN 32 ELSE 0 END)::BIGINT AS fail_bits FROM m)
 SELECT *, fail_bits & 3 <> 0 AS base_failed, 'web-2' AS policy, fail_bits = 0 AS kept FROM f
 """
+
+#: Over the rows of ``SQL``: bit by bit.
+ABLATION_SQL = f"""
+WITH l AS ({SQL}), r AS (SELECT * FROM (VALUES {", ".join(f"('{name}', {bit})" for name, bit in BIT.items())}) t(rule, bit))
+SELECT 'web-2' AS policy, rule, bit::BIGINT AS bit, count(*) FILTER (fail_bits & bit <> 0) AS n_failed, count(*) FILTER (fail_bits = bit) AS n_only,
+       count(*) FILTER (fail_bits & ~bit = 0) AS n_kept_without, count(*) AS n_rows FROM l, r GROUP BY ALL
+"""

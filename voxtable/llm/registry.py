@@ -23,8 +23,8 @@ MODULES = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: module.query for name, module in MODULES.items()}
+    return {name: module.query for name, module in MODULES.items()} | {"quality_ablation": quality_rules.ablation_query}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: module.SQL for name, module in MODULES.items() if getattr(module, "SQL", None)}
+    return {name: module.SQL for name, module in MODULES.items() if getattr(module, "SQL", None)} | {"quality_ablation": quality_rules.ABLATION_SQL}
