@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 
@@ -103,8 +104,47 @@ def test_early_stopping(spark):
     values = [5, 4, 4, 3, 3.5, 3.2]
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "step int, v double")
     assert [r.stop for r in sequence.early_stopping(df, "step", "v", 2).orderBy("step").collect()] == [False] * 5 + [True]
-    patience = kmeans.Patience(2)
-    assert [patience.stop(v) for v in values] == [False] * 5 + [True]
+    stop = kmeans.Stop(0, {"inertia": 2})
+    history = [{"step": k, "inertia": float(v)} for k, v in enumerate(values)]
+    assert [stop.now(history[: k + 1]) for k in range(6)] == [False] * 5 + [True]
+    assert [kmeans.Stop(0, {"calinski_harabasz": 0}).now([{"calinski_harabasz": x} for x in seen]) for seen in ([1], [1, 2], [1, 2, 2])] == [False, False, True]
+    assert kmeans.Stop(0.1).now([{"step": 1}, {"step": 2, "delta": 0.05}]) and not kmeans.Stop(0.1).now([{"step": 1}])
+    assert [r.stop for r in sequence.early_stopping(df, "step", "v", 0).orderBy("step").collect()] == [False, False, True, True, True, True]
+
+
+def test_adaptive_draws():
+    """Short sources are drawn more often, in proportion; those that run out are opened again."""
+    draws, opened = sequence.AdaptiveDraws({"a": 1.0, "b": 1.0}, alpha=0.5), []
+    sources = {"a": lambda: opened.append("a") or iter([4.0] * 3), "b": lambda: opened.append("b") or iter([1.0] * 5)}
+    seen = list(itertools.islice(sequence.adaptive_draws(sources, lambda x: x, draws), 2000))
+    share = sum(name == "b" for name, _ in seen) / 2000
+    assert 0.76 < share < 0.84 and opened.count("a") > 100 and math.isclose(draws.shares()["b"], 0.8, rel_tol=1e-6)
+    fresh = sequence.AdaptiveDraws({"a": 1.0}, 0.02)
+    fresh.seen("a", 10.0)
+    assert math.isclose(fresh.averages["a"], 1.18)
+    with pytest.raises(ValueError, match="empty"):
+        next(sequence.adaptive_draws({"a": list}, float, sequence.AdaptiveDraws({"a": 1.0})))
+
+
+def test_greedy_batches_against_loops(spark):
+    rng = np.random.default_rng(4)
+    rows = [("ab"[int(rng.integers(0, 2))], i, float(rng.integers(0, 40))) for i in range(700)]
+    df = spark.createDataFrame(rows, "k string, idx long, v double").repartition(5)
+    want_budget, want_total = {}, {}
+    for k in "ab":
+        batch, longest, count, shard, total = 0, 0.0, 0, 0, 0.0
+        for _, i, v in (r for r in rows if r[0] == k):
+            longest, count, total = max(longest, v), count + 1, total + v
+            want_budget[i], want_total[i] = batch, shard
+            if longest * count >= 900:
+                batch, longest, count = batch + 1, 0.0, 0
+            if total >= 70:
+                shard, total = shard + 1, 0.0
+    assert {r.idx: r.batch for r in batching.budget_batches(df, "v", 900, ["k"], ["idx"]).collect()} == want_budget
+    assert {r.idx: r.shard for r in batching.total_shards(df, "v", 70, ["k"], ["idx"]).collect()} == want_total
+    by_length = sorted(rows, key=lambda r: (-r[2], r[1]))
+    want = {r[1]: n for k in "ab" for n, r in enumerate(x for x in by_length if x[0] == k)}
+    assert {r.idx: r.place for r in batching.length_rank(df, "v", ["k"], descending=True).collect()} == want
 
 
 def test_averages(spark):
@@ -152,11 +192,26 @@ def test_kmeans(spark, points):
     df, x = points
     centers = sorted(tuple(np.round(r.center, 1)) for r in kmeans.fit(df, "vec", 3).collect())
     assert [round(c[0]) for c in centers] == [0, 3, 7]
-    model = kmeans.fit_batches(list(kmeans.batches_of(df, ["idx"], 50)) * 4, "vec", x[[0, 50, 90]], check_every=2)
+    batches = [sorted(r.idx for r in b.collect()) for b in kmeans.batches_of(df, ["idx"], 50)]
+    assert batches == [list(range(k, min(k + 50, len(x)))) for k in range(0, len(x), 50)]
+    model, _ = kmeans.fit_batches([b for _ in range(4) for b in kmeans.batches_of(df, ["idx"], 50)], "vec", x[[0, 50, 90]], check_every=2)
     assert sorted(np.round(model.centers[:, 0]).tolist()) == [0, 3, 7] and model.frames > 120
+    # the same updates, one vector set after another, in NumPy
+    centers, counts = x[[0, 50, 90]].astype(float).copy(), np.zeros(3)
+    for k in range(0, len(x), 50):
+        near = ((x[k : k + 50, None] - centers[None]) ** 2).sum(axis=2).argmin(axis=1)
+        for c in range(3):
+            mine = x[k : k + 50][near == c]
+            counts[c] += len(mine)
+            centers[c] += (mine.sum(axis=0) - len(mine) * centers[c]) / max(counts[c], 1)
+    once, _ = kmeans.fit_batches(kmeans.batches_of(df, ["idx"], 50), "vec", x[[0, 50, 90]])
+    assert np.allclose(once.centers, centers) and once.counts.tolist() == counts.tolist()
     saved = []
-    joint, history = kmeans.fit_joint({"a": (list(kmeans.batches_of(df, ["idx"], 40)), 1.0), "b": (list(kmeans.batches_of(df, ["idx"], 60)), 2.0)}, "vec", x[[0, 50, 90]], df, 2, {"inertia": kmeans.Patience(3)}, tolerance=0, save=lambda step, book: saved.append(step))
-    assert joint.steps == 5 and [h["step"] for h in history] == [2.0, 4.0] == [float(s) for s in saved] and {"inertia", "davies_bouldin", "calinski_harabasz"} <= set(history[0])
+    opened = {name: (lambda size=size: kmeans.batches_of(df, ["idx"], size), weight) for name, size, weight in (("a", 40, 1.0), ("b", 60, 2.0))}
+    joint, history = kmeans.fit_joint(opened, "vec", x[[0, 50, 90]], most_frames=300, validation=df, check_every=2, stop=kmeans.Stop(0, {"inertia": 30}), save=lambda step, book: saved.append(step))
+    assert joint.frames >= 300 > 120 and [h["step"] for h in history] == [float(s) for s in saved] != [] and {"inertia", "davies_bouldin", "calinski_harabasz"} <= set(history[0])
+    files = df.withColumn("file", F.when(F.col("idx") < 70, "x").otherwise("y"))
+    assert sorted(b.count() for b in kmeans.batches_of(files, ["idx"], 50, "file")) == sorted([50, 20, 50, len(x) - 120] if len(x) > 120 else [50, 20, len(x) - 70])
 
 
 def test_vocabulary(spark):

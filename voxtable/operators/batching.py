@@ -7,23 +7,27 @@ are tasks, with ``shards_by_hash`` where the data has no natural ones.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voxtable.operators.relational import ranked
+
 
 def shards_by_hash(df: DataFrame, key: str, n: int, name: str = "shard") -> DataFrame:
     return df.withColumn(name, F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
 
 
 def length_rank(df: DataFrame, length: str, keys: Sequence[str] = (), tie: Sequence[str] = ("idx",), descending: bool = False) -> DataFrame:
-    """Adds ``place``, from 0, by length within ``keys``; ties by ``tie``."""
+    """Adds ``place``, from 0, by length within ``keys``; ties by ``tie``. Numbered by ranges: no task sorts a whole key."""
     first = F.col(length).desc() if descending else F.col(length).asc()
-    return df.withColumn("place", (F.row_number().over(W.partitionBy(*keys).orderBy(first, *tie)) - 1).cast("long"))
+    return ranked(df, keys, [first, *tie], "place")
 
 
 def fixed_batches(df: DataFrame, size: int, place: Column | str) -> DataFrame:
@@ -32,11 +36,17 @@ def fixed_batches(df: DataFrame, size: int, place: Column | str) -> DataFrame:
     return df.withColumn("batch", F.floor(place / size).cast("long"))
 
 
-def _walk(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], step, name: str) -> DataFrame:
-    """Adds a column by folding ``step(state, values) -> (state, output)`` over the ordered rows of each group.
+#: cut(values, state) -> (batch numbers relative to the state's, new state): the walk over a stretch of one group's rows.
+Cut = Callable[[np.ndarray, tuple], tuple[np.ndarray, tuple]]
+
 
-    Rows of a group stream through one task: partitions hold whole groups, sorted, and the state starts anew where the
-    keys change.
+def _walk(df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, cut: Cut, name: str) -> DataFrame:
+    """Adds the batch number that ``cut`` gives to the ordered rows of each group.
+
+    A batch begins where the one before ends, so rows of a group stream through one task: partitions hold whole groups,
+    sorted, and the state starts anew where the keys change. An Arrow batch takes a few array operations for each batch
+    that ends in it, not a Python step for each row. Where a source is too long for one task, ``shards_by_hash`` or
+    ``ranked`` blocks of it serve as further keys; the batches then end with each of them.
     """
     keys, order = list(keys), list(order)
     lone = not keys
@@ -44,37 +54,65 @@ def _walk(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Seq
     keys = ["__one"] if lone else keys
     arranged = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
     fields = arranged.schema.names
-    key_at, value_at = [fields.index(k) for k in keys], [fields.index(c) for c in columns]
+    key_at, value_at = [fields.index(k) for k in keys], fields.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, state = object(), None
+        current, state = object(), ()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            out = []
-            ids = zip(*(batch.column(i).to_pylist() for i in key_at), strict=True)
-            values = zip(*(batch.column(i).to_pylist() for i in value_at), strict=True)
-            for key, value in zip(ids, values, strict=True):
+            values = np.nan_to_num(np.asarray(pc.fill_null(batch.column(value_at).cast(pa.float64()), 0.0)))
+            coded = [c.dictionary_encode(null_encoding="encode").indices.to_numpy() for c in (batch.column(i) for i in key_at)]
+            starts = [0, *(np.flatnonzero(np.any([c[1:] != c[:-1] for c in coded], axis=0)) + 1).tolist(), len(values)]
+            out = np.empty(len(values), np.int64)
+            for a, b in zip(starts, starts[1:]):
+                key = [batch.column(i)[a].as_py() for i in key_at]
                 if key != current:
-                    current, state = key, None
-                state, made = step(state, value)
-                out.append(made)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*fields, name])
+                    current, state = key, (0, 0.0, 0)
+                out[a:b], state = cut(values[a:b], state)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*fields, name])
 
     schema = T.StructType([*arranged.schema.fields, T.StructField(name, T.LongType())])
     out = arranged.mapInArrow(run, schema)
     return out.drop("__one") if lone else out
 
 
+def _first(reached: Callable[[int, int], np.ndarray], start: int, n: int) -> int:
+    """The first place from ``start`` that is reached, or n; ``reached(a, b)`` says it of a stretch. Stretches double."""
+    a, size = start, 64
+    while a < n:
+        b = min(n, a + size)
+        hit = np.flatnonzero(reached(a, b))
+        if len(hit):
+            return a + int(hit[0])
+        a, size = b, 2 * size
+    return n
+
+
 def budget_batches(df: DataFrame, length: str, budget: float, keys: Sequence[str] = (), order: Sequence[str] = ("place",), name: str = "batch") -> DataFrame:
     """Adds the number, from 0, of the batch: a batch ends with the row at which longest * count reaches the budget."""
 
-    def step(state, values):
-        batch, longest, count = state or (0, 0, 0)
-        longest, count = max(longest, values[0] or 0), count + 1
-        return ((batch + 1, 0, 0) if longest * count >= budget else (batch, longest, count)), batch
+    def cut(values: np.ndarray, state: tuple) -> tuple[np.ndarray, tuple]:
+        batch, longest, count = state
+        out, at, n = np.empty(len(values), np.int64), 0, len(values)
+        while at < n:
+            seen = {"longest": longest}
+
+            def reached(a: int, b: int, at: int = at, count: int = count, seen: dict = seen) -> np.ndarray:
+                most = np.maximum(np.maximum.accumulate(values[a:b]), seen["longest"])
+                seen["longest"] = float(most[-1])
+                return most * (count + np.arange(a, b) - at + 1) >= budget
 
-    return _walk(df, keys, order, [length], step, name)
+            end = _first(reached, at, n)
+            out[at : end + 1] = batch
+            if end == n:
+                longest, count = max(longest, float(values[at:].max())), count + n - at
+            else:
+                batch, longest, count = batch + 1, 0.0, 0
+            at = end + 1
+        return out, (batch, longest, count)
+
+    return _walk(df, keys, order, length, cut, name)
 
 
 def whole_batches(df: DataFrame, length: str, budget: float, keys: Sequence[str] = (), batch: str = "batch") -> DataFrame:
@@ -87,12 +125,25 @@ def whole_batches(df: DataFrame, length: str, budget: float, keys: Sequence[str]
 def total_shards(df: DataFrame, amount: str, per_shard: float, keys: Sequence[str] = (), order: Sequence[str] = ("idx",), name: str = "shard") -> DataFrame:
     """Adds the shard, from 0: the row whose amount makes the shard's sum reach ``per_shard`` is its last."""
 
-    def step(state, values):
-        shard, total = state or (0, 0.0)
-        total += values[0] or 0.0
-        return ((shard + 1, 0.0) if total >= per_shard else (shard, total)), shard
-
-    return _walk(df, keys, order, [amount], step, name)
+    def cut(values: np.ndarray, state: tuple) -> tuple[np.ndarray, tuple]:
+        shard, total, _ = state
+        out, at, n = np.empty(len(values), np.int64), 0, len(values)
+        while at < n:
+            seen = {"total": total}
+
+            def reached(a: int, b: int, seen: dict = seen) -> np.ndarray:
+                # one after another from the sum so far, as a loop would add them
+                sums = np.cumsum(np.concatenate([[seen["total"]], values[a:b]]))[1:]
+                seen["total"] = float(sums[-1])
+                return sums >= per_shard
+
+            end = _first(reached, at, n)
+            out[at : end + 1] = shard
+            shard, total = (shard, seen["total"]) if end == n else (shard + 1, 0.0)
+            at = end + 1
+        return out, (shard, total, 0)
+
+    return _walk(df, keys, order, amount, cut, name)
 
 
 def until_total(df: DataFrame, amount: str, most: float, keys: Sequence[str] = (), order: Sequence[str] = ("idx",)) -> DataFrame:

@@ -9,29 +9,56 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxtable.functions.text import last_part
+from voxtable.scratch import stash
 
 IDX = "idx"
 
 
+#: The low bits of ``monotonically_increasing_id`` are a row's place in its partition, the others the partition.
+PLACE_BITS = 33
+
+
+def numbered(df: DataFrame, name: str = IDX) -> DataFrame:
+    """Adds 0, 1, 2 ... in the order in which the rows stand in the partitions of a table that is read from files.
+
+    Partitions number themselves; their sizes, one row each, give the offsets. The rows are read twice.
+    """
+    rows = df.withColumn("__id64", F.monotonically_increasing_id()).withColumns({"__part": F.shiftright("__id64", PLACE_BITS), "__at": F.col("__id64").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))})
+    counts = rows.groupBy("__part").agg(F.count("*").alias("__c"))
+    before = counts.select("__part", (F.sum("__c").over(W.orderBy("__part")) - F.col("__c")).alias("__before"))
+    return rows.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__at")).drop("__id64", "__part", "__at", "__before")
+
+
 def with_index(df: DataFrame, *order: Column | str, name: str = IDX) -> DataFrame:
     """Adds 0, 1, 2 ... in the given order, which should be total.
 
-    A single window would sort everything in one task. Instead rows are range-partitioned and sorted; each partition is
-    numbered by itself, and the partitions' sizes give the offsets, as many rows as there are partitions. The ranged rows
-    are persisted, so that both uses see the same ranges; a lost part is computed again from the same bounds.
+    A single window would sort everything in one task. Instead rows are range-partitioned and sorted, written to the
+    shared folder with their partition and place in it, and the partitions' sizes give the offsets.
     """
-    order = tuple(F.col(c) if isinstance(c, str) else c for c in order)
-    ranged = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
-    local = ranged.withColumn("__n", F.row_number().over(W.partitionBy("__part").orderBy(*order)))
-    counts = ranged.groupBy("__part").agg(F.count("*").alias("__c"))
-    before = counts.select("__part", (F.sum("__c").over(W.orderBy("__part")) - F.col("__c")).alias("__before"))
-    return local.join(F.broadcast(before), "__part").withColumn(name, (F.col("__before") + F.col("__n") - 1).cast("long")).drop("__part", "__n", "__before")
+    return ranked(df, (), order, name)
+
+
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str = IDX) -> DataFrame:
+    """Adds 0, 1, 2 ... in the given order within ``keys``. No task holds the rows of a key: ranges cut through keys.
+
+    A range's first place of a key and the key's rows in the ranges before give a row's number; those are a row for each
+    key of each range.
+    """
+    order = tuple(F.col(c) if isinstance(c, str) else c for c in (*keys, *order))
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id64", F.monotonically_increasing_id())
+    ranged = ranged.withColumns({"__part": F.shiftright("__id64", PLACE_BITS).cast("int"), "__at": F.col("__id64").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))})
+    ranged = stash(ranged.drop("__id64"))
+    counts = ranged.groupBy(*keys, "__part").agg(F.count("*").alias("__c"), F.min("__at").alias("__first"))
+    before = F.sum("__c").over(W.partitionBy(*keys).orderBy("__part")) - F.col("__c") - F.col("__first")
+    counts = counts.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("__part").alias("__p"), before.alias("__before"))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)), F.col("__part") == F.col("__p"))
+    found = ranged.join(counts if keys else F.broadcast(counts), same).withColumn(name, (F.col("__before") + F.col("__at")).cast("long"))
+    return found.drop("__part", "__at", "__p", "__before", *(f"__k{i}" for i in range(len(keys))))
 
 
 def slice_rows(df: DataFrame, start: int = 0, n: int = 0, order: str = IDX) -> DataFrame:

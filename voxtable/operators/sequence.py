@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from dataclasses import dataclass, field
+from typing import TypeVar
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxtable.functions.bind import bind
+from voxtable.operators.relational import ranked
 
 
 def collapse_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
@@ -75,8 +79,7 @@ def moving_average_long(df: DataFrame, key: str, order: Sequence[str], value: st
 
     A run of values maps avg to a * avg + b; blocks of a key are folded to their (a, b) apart, then the blocks' maps.
     """
-    w = W.partitionBy(key).orderBy(*order)
-    numbered = df.withColumn("__block", F.floor((F.row_number().over(w) - 1) / block))
+    numbered = ranked(df, [key], order, "__block").withColumn("__block", F.floor(F.col("__block") / block))
     rows = numbered.groupBy(key, "__block").agg(F.sort_array(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("__v")))).alias("r"))
     maps = rows.select(key, "__block", F.pow(F.lit(1 - alpha), F.size("r").cast("double")).alias("a"), F.aggregate("r", F.lit(0.0), lambda b, r: (1 - alpha) * b + alpha * r["__v"]).alias("b"), F.size("r").cast("long").alias("c"))
     whole = maps.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("__block", "a", "b"))).alias("m"), F.sum("c").alias("n"))
@@ -92,7 +95,8 @@ def sampling_shares(df: DataFrame, weight: str, average: str) -> DataFrame:
 def draw_sources(shares: DataFrame, n: int, source: str, seed: int = 42) -> DataFrame:
     """n seeded draws (draw, source) with the probabilities ``p``: each draw's uniform hash falls into one share.
 
-    Shares are one row a source; their bounds are broadcast after a check of their number.
+    Shares are one row a source; their bounds are broadcast after a check of their number. With probabilities that stay
+    as they are; see ``adaptive_draws`` for those that follow the batches drawn.
     """
     if shares.count() > 10_000:
         raise ValueError("10,000 sources at most")
@@ -102,8 +106,54 @@ def draw_sources(shares: DataFrame, n: int, source: str, seed: int = 42) -> Data
     return draws.join(F.broadcast(bounds), (F.col("u") >= F.col("lo")) & ((F.col("u") < F.col("hi")) | F.col("last"))).select("draw", source)
 
 
+@dataclass
+class AdaptiveDraws:
+    """An endless draw of sources, in proportion to weight / average length; the averages follow what was drawn.
+
+    ``averages`` start at 1 and move by ``alpha`` towards the mean length of each batch that ``seen`` reports.
+    """
+
+    weights: dict[str, float]
+    alpha: float = 0.02
+    seed: int = 42
+    averages: dict[str, float] = field(default_factory=dict)
+
+    def __post_init__(self):
+        self.averages = {k: 1.0 for k in self.weights} | self.averages
+        self.rng = np.random.default_rng(self.seed)
+
+    def shares(self) -> dict[str, float]:
+        raw = {k: w / self.averages[k] for k, w in sorted(self.weights.items())}
+        return {k: x / sum(raw.values()) for k, x in raw.items()}
+
+    def draw(self) -> str:
+        shares = self.shares()
+        return str(self.rng.choice(list(shares), p=list(shares.values())))
+
+    def seen(self, source: str, mean_length: float) -> None:
+        self.averages[source] += self.alpha * (mean_length - self.averages[source])
+
+
+Item = TypeVar("Item")
+
+
+def adaptive_draws(sources: Mapping[str, Callable[[], Iterable[Item]]], length_of: Callable[[Item], float], draws: AdaptiveDraws) -> Iterator[tuple[str, Item]]:
+    """Endless (source, item); a source that runs out is opened again, so mixtures keep their weights. Empty ones raise."""
+    running: dict[str, Iterator[Item]] = {}
+    while True:
+        name = draws.draw()
+        item = next(running.get(name, iter(())), None)
+        if item is None:
+            running[name] = iter(sources[name]())
+            item = next(running[name], None)
+            if item is None:
+                raise ValueError(f"the source {name!r} is empty")
+        draws.seen(name, length_of(item))
+        yield name, item
+
+
 def early_stopping(df: DataFrame, step: str, value: str, patience: int, lower_is_better: bool = True, keys: Sequence[str] = ()) -> DataFrame:
-    """Adds ``best`` (so far), ``bad`` (steps since it improved) and ``stop`` (bad >= patience, now or before)."""
+    """Adds ``best`` (so far), ``bad`` (steps since it improved) and ``stop`` (bad >= patience, and 1, now or before)."""
     past = W.partitionBy(*keys).orderBy(step).rowsBetween(W.unboundedPreceding, -1)
     so_far = W.partitionBy(*keys).orderBy(step).rowsBetween(W.unboundedPreceding, 0)
     ordered = W.partitionBy(*keys).orderBy(step)
@@ -112,7 +162,7 @@ def early_stopping(df: DataFrame, step: str, value: str, patience: int, lower_is
     better = before.isNull() | (F.col(value) < before if lower_is_better else F.col(value) > before)
     rows = df.withColumn("best", best.over(so_far)).withColumn("__n", F.row_number().over(ordered)).withColumn("__better", better)
     rows = rows.withColumn("bad", F.col("__n") - F.max(F.when(F.col("__better"), F.col("__n"))).over(so_far)).drop("__n", "__better")
-    return rows.withColumn("stop", F.max(F.col("bad") >= patience).over(so_far))
+    return rows.withColumn("stop", F.max(F.col("bad") >= max(patience, 1)).over(so_far))
 
 
 def every_nth(df: DataFrame, step: str, n: int) -> DataFrame:
