@@ -145,6 +145,33 @@ def test_ngram_join(docs, rows, k, num, frequent, monkeypatch):
     assert len({c for _, _, c in want}) < len(want)
 
 
+@pytest.mark.parametrize("name", ["FAN", "ADDED"])
+def test_ngram_join_in_several_steps(docs, rows, name, monkeypatch):
+    """Buckets dealt out in two steps, and sketches added up in a tree."""
+    monkeypatch.setattr(ngram_join, name, 1 if name == "FAN" else 2)
+    monkeypatch.setattr(ngram_join, "BUCKET_BYTES", 4096)
+    got = ngram_join.link_components(docs, shingle=3, num=80).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == links_of(rows, 3, 80, 100)
+
+
+def test_ngram_join_of_ids_with_several_texts(spark):
+    a, b, c, d = ("one two three four", "five six seven eight", "nine ten eleven twelve", "red green blue black")
+    rows = [(5, a), (3, a), (5, b), (7, b), (9, c), (8, d), (8, c), (8, ""), (2, None), (None, a), (6, d)]
+    got = ngram_join.link_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == links_of(rows, 3, 90, 100)
+    assert {r.component_id for r in got if r.doc_id in (3, 5, 7)} == {3} and {r.component_id for r in got if r.doc_id in (6, 8, 9)} == {6}
+
+
+def test_histograms_bound_intersections():
+    rng = np.random.default_rng(1)
+    for n in (3, 400, 30_000):
+        p = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        q = np.unique(np.concatenate([p[: n // 2], rng.integers(0, 2**63, n // 2).astype(np.uint64)]))
+        cells = [ngram_join.cells_of(ngram_join.histograms(np.zeros(len(x), np.int64), x, 1)) for x in (p, q)]
+        assert [int(c.sum()) for c in cells] == [len(p), len(q)]
+        assert np.minimum(*cells).sum() >= len(np.intersect1d(p, q))
+
+
 def test_ngram_join_of_nothing(empty):
     assert ngram_join.link_components(empty).count() == 0
 

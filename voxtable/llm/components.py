@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxtable.llm.shared import stash
+from voxtable.llm.shared import drop_tables, stash
 
 MOST_ROUNDS = 60
 
@@ -16,7 +16,8 @@ def components(links: DataFrame) -> DataFrame:
     Alternates the large-star and small-star steps of Kiveris et al. (2014): a step keeps the number of links and
     needs one aggregation with partial sums and one join; each round is written to the shared folder.
     """
-    e = stash(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    spark, written = links.sparkSession, []
+    e = stash(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), written)
     state = None
     for _ in range(MOST_ROUNDS):
         seen = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -28,7 +29,9 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
-        e = stash(small.select("x.*").where("a <> b").distinct())
+        e = stash(small.select("x.*").where("a <> b").distinct(), written)
+        drop_tables(spark, written[:-1])
+        del written[:-1]
     else:
         raise RuntimeError(f"components not found in {MOST_ROUNDS} rounds")
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

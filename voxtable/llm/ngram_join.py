@@ -5,21 +5,27 @@ n - ceil(num/den * n) + 1 tokens of each (the prefix) share a token, whatever gl
 candidates must share prefix tokens under three orders: two that put rare tokens first and break ties differently, and
 one by hash alone.
 
-1. One pass counts all shingles in a sketch of fixed size (``COUNTERS``); its logarithm, one byte a counter, is broadcast
-   and gives the rare-first orders. Documents with equal sets form a class; only a class's smallest id goes on.
+1. One pass counts all shingles in a sketch of fixed size (``COUNTERS``), added up in a tree; its logarithm, one byte a
+   counter, is broadcast and gives the rare-first orders. Documents with equal sets form a class; only a class's smallest
+   id goes on. The pass also keeps a histogram of each set by hash (``CELLS``).
 2. One pass emits the prefix tokens under the first order, packed by hash bucket and distinct by class within a task;
-   buckets return the tokens of two or more classes. Tokens the sketch shows to be very frequent bypass this: they are
-   spread over salted buckets, and meet in joins that Spark can split.
+   buckets return the tokens of two or more classes. The number of buckets follows the measured number of prefix tokens;
+   beyond ``FAN`` buckets they are dealt out in two steps, so packets stay large. Tokens the sketch shows to be very
+   frequent bypass this: they are spread over salted buckets, and meet in joins that Spark can split.
 3. Links to one leader a token are verified first; after components of those, only pairs from different components that
-   share a token and pass the size and position bounds are left. So a group of copies costs links in proportion to
-   its size, and no pair that could connect two components is left out.
-4. Candidates whose prefixes under the other orders don't meet are dropped; the rest is verified on whole sets.
+   share a token and pass the size and position bounds are left, joined in blocks of sizes that can match. So a group of
+   copies costs links in proportion to its size, and no pair that could connect two components is left out.
+4. Of a pair's histograms the sum of the lesser counts bounds the intersection from above; a pair whose bound is too low
+   goes. For the others the sets meet, and must share prefix tokens under the other orders too before they are
+   intersected.
 
-Tokens are 64-bit hashes of shingles; verification is exact on these.
+Tokens are 64-bit hashes of shingles, and verification is exact on these: two different shingles among the m of a pair of
+documents are taken for one with a chance below m * m / 2**65, about 1e-11 for two documents of 10,000 words.
 
 Defined results: a null text or one without words has an empty set and links with nothing; fewer words than ``shingle``
-are one shingle; a row with a null id links with nothing and has no component; rows with the same id are one document
-for components; an empty table gives no rows; further columns don't matter.
+are one shingle; a very long text is one set; a row with a null id links with nothing and has no component; rows with the
+same id are one document for components, whatever their texts; ties in the orders are broken by hash; an empty table gives
+no rows; further columns don't matter.
 """
 
 from __future__ import annotations
@@ -34,11 +40,18 @@ from pyspark.sql import functions as F
 
 from voxtable.llm.components import components
 from voxtable.llm.kernel import FOLDED, U64, Words, grams, mix, rows_of, runs, whole
-from voxtable.llm.shared import partitions, small, stash, table
+from voxtable.llm.shared import drop_tables, parts_for, small, stash, table
 
 SHINGLE, NUM, DEN = 3, 90, 100
-#: Size of the sketch: this many counters, sent in this many slices.
-COUNTERS, SLICES = 1 << 21, 64
+#: Size of the sketch: this many counters, by the upper bits of a token, sent in this many slices.
+COUNTER_BITS, SLICES = 24, 64
+COUNTERS = 1 << COUNTER_BITS
+#: Sketches that one step of the tree adds up.
+ADDED = 128
+#: Cells of a set's histogram, by the lowest bits of a token.
+CELLS = 64
+#: Bytes of prefix entries that a bucket is meant for, and buckets that one task deals out at once.
+BUCKET_BYTES, FAN = 32 << 20, 4096
 #: A token that the sketch counts this often or more is dealt out by salt.
 FREQUENT = 1 << 16
 #: Prefix entries that a task gathers before it sends them.
@@ -87,36 +100,91 @@ def blobs(batches: Iterator[pa.RecordBatch], k: int):
             yield ids[start:stop], known[start:stop], *shingles(words, k), stop - start
 
 
-SCAN = "doc_id long, n long, s1 long, s2 long, slice int, blob binary"
+def counter_of(values: np.ndarray) -> np.ndarray:
+    return (values >> U64(64 - COUNTER_BITS)).astype(np.int64)
+
+
+def histograms(owner: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
+    """How many tokens of each text fall in each cell: a byte each, or four for texts that need them."""
+    cells = np.bincount(owner * CELLS + (values & U64(CELLS - 1)).astype(np.int64), minlength=n * CELLS)[: n * CELLS].reshape(n, CELLS)
+    wide = cells.max(axis=1, initial=0) > 255
+    return pa.array([x.astype("<u4").tobytes() if w else x.astype("u1").tobytes() for x, w in zip(cells, wide)], pa.binary())
+
+
+def cells_of(column: pa.Array) -> np.ndarray:
+    """The histograms as rows of a matrix."""
+    rows = [x.as_buffer() for x in column]
+    return np.stack([np.frombuffer(x, "u1" if len(x) == CELLS else "<u4").astype(np.int64) for x in rows]) if rows else np.zeros((0, CELLS), np.int64)
+
+
+SCAN = "doc_id long, n long, s1 long, s2 long, cells binary, slice int, task int, blob binary"
+SCAN_NAMES = ["doc_id", "n", "s1", "s2", "cells", "slice", "task", "blob"]
 
 
 def scan(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters, press, empty = np.zeros(COUNTERS, np.int64), zstandard.ZstdCompressor(level=1), True
+        from pyspark import TaskContext
+
+        counters, task = None, TaskContext.get().partitionId() if TaskContext.get() else 0
         for ids, known, owner, values, n in blobs(batches, k):
             counts, s1, s2 = signatures(owner, values, n)
-            counters += np.bincount((values >> U64(40)).astype(np.int64) % COUNTERS, minlength=COUNTERS)
-            empty = False
-            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=~known), pa.array(counts.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["doc_id", "n", "s1", "s2", "slice", "blob"])
-        if not empty:
-            parts = [press.compress(x.astype("<u8").tobytes()) for x in np.split(counters, SLICES)]
-            none = pa.nulls(SLICES, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(np.arange(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["doc_id", "n", "s1", "s2", "slice", "blob"])
+            counters = np.zeros(COUNTERS, np.uint32) if counters is None else counters
+            np.add.at(counters, counter_of(values), np.uint32(1))
+            none = [pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=~known), pa.array(counts.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), histograms(owner, values, n), *none], names=SCAN_NAMES)
+        if counters is not None:
+            parts, none = [squeeze(x) for x in np.split(counters, SLICES)], pa.nulls(SLICES, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(SLICES, pa.binary()), pa.array(np.arange(SLICES), pa.int32()), pa.array(np.full(SLICES, task), pa.int32()), pa.array(parts, pa.binary())], names=SCAN_NAMES)
+
+    return run
+
+
+def squeeze(counters: np.ndarray) -> bytes:
+    """The counters that aren't 0, with their distances, compressed."""
+    at = np.flatnonzero(counters)
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(at, prepend=0).astype("<u4").tobytes() + counters[at].astype("<u8").tobytes())
+
+
+def expand(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = len(raw) // 12
+    return np.cumsum(np.frombuffer(raw, "<u4", n).astype(np.int64)), np.frombuffer(raw, "<u8", n, 4 * n)
+
+
+SUMMED = "slice int, task int, blob binary"
+
+
+def add_slices(last: bool):
+    """Adds up one slice of some sketches, one after another; the last step gives levels instead of counts."""
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS // SLICES, np.uint64)
+        for batch in batches:
+            for blob in batch.column("blob"):
+                at, counts = expand(blob.as_py())
+                total[at] += counts
+        out = np.minimum(255, np.round(8 * np.log2(1.0 + total))).astype(np.uint8).tobytes() if last else squeeze(total)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([0 if last else key[1].as_py()], pa.int32()), pa.array([out], pa.binary())], names=["slice", "task", "blob"])
 
     return run
 
 
-def add_slices(key, rows):
-    total = np.zeros(COUNTERS // SLICES, np.uint64)
-    for blob in rows.column("blob").to_pylist():
-        total += np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "<u8")
-    level = np.minimum(255, np.round(8 * np.log2(1.0 + total))).astype(np.uint8)
-    return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["slice", "level"])
+def levels_of(scanned: DataFrame) -> np.ndarray:
+    """The logarithm of the sketch: ``COUNTERS`` bytes. Sketches are added up by groups of ``ADDED``, and those again."""
+    parts, paths = scanned.where("slice is not null").select("slice", "task", "blob"), []
+    number = parts.where("slice = 0").count()
+    while number > ADDED:
+        number = -(-number // ADDED)
+        parts = parts.withColumn("task", F.pmod("task", F.lit(number))).groupBy("slice", "task").applyInArrow(add_slices(False), SUMMED)
+        parts = stash(parts, paths)
+    found = {r[0]: np.frombuffer(bytes(r[1]), np.uint8) for r in parts.groupBy("slice").applyInArrow(add_slices(True), SUMMED).select("slice", "blob").collect()}
+    drop_tables(scanned.sparkSession, paths)
+    return np.concatenate([found[k] for k in sorted(found)] or [np.zeros(COUNTERS, np.uint8)])
 
 
 def orders(values: np.ndarray, level: np.ndarray) -> list[np.ndarray]:
     """The tokens' keys under each order: (rarity, hash), (rarity, another hash), hash."""
-    rare = level[(values >> U64(40)).astype(np.int64) % COUNTERS].astype(U64) << U64(56)
+    rare = level[counter_of(values)].astype(U64) << U64(56)
     return [rare | (mix(values ^ SEEDS[0]) >> U64(8)), rare | (mix(values ^ SEEDS[1]) >> U64(8)), mix(values ^ SEEDS[2])]
 
 
@@ -133,44 +201,69 @@ ENTRY = np.dtype([("t", "<u8"), ("s1", "<u8"), ("doc", "<i8"), ("n", "<u4"), ("p
 SHARED = "t long, doc long, s1 long, n int, pos int, salted boolean"
 
 
-def first_order(k: int, num: int, den: int, level, buckets: int):
-    frequent = int(round(8 * np.log2(1.0 + FREQUENT)))
+class Sender:
+    """Gathers prefix entries and packs them by bucket; of equal sets only the smallest id goes on."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, levels: np.ndarray, buckets: int, width: int):
         from pyspark import TaskContext
 
-        task = TaskContext.get().partitionId() if TaskContext.get() else 0
-        levels, held, size = level.value, [], 0
-
-        def send() -> pa.RecordBatch:
-            rows = np.concatenate(held)
-            # of equal sets only the smallest id goes on
-            order = np.lexsort((rows["doc"], rows["s1"]))
-            at = runs(rows["s1"][order])
-            rows = rows[order]
-            rows = rows[rows["doc"] == np.repeat(rows["doc"][at], np.diff([*at, len(rows)]))]
-            where = (((mix(rows["t"]) >> U64(32)) * U64(buckets)) >> U64(32)).astype(np.int64)
-            salted = levels[(rows["t"] >> U64(40)).astype(np.int64) % COUNTERS] >= frequent
-            where[salted] = buckets + (where[salted] + task) % buckets
-            order = np.argsort(where, kind="stable")
-            rows, where = rows[order], where[order]
-            cut = [*runs(where), len(where)]
-            packets = [(int(where[a]), rows[a:b].tobytes()) for a, b in zip(cut, cut[1:])]
-            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in packets], pa.int32()), pa.array([x for _, x in packets], pa.binary())], names=["bucket", "blob"])
+        self.frequent = int(round(8 * np.log2(1.0 + FREQUENT)))
+        self.levels, self.buckets, self.width, self.held, self.size = levels, buckets, width, [], 0
+        self.task = TaskContext.get().partitionId() if TaskContext.get() else 0
+
+    def take(self, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append(rows)
+        self.size += len(rows)
+        if self.size > SEND:
+            yield from self.send()
+
+    def send(self) -> Iterator[pa.RecordBatch]:
+        if not self.size:
+            return
+        rows = np.concatenate(self.held)
+        self.held, self.size = [], 0
+        order = np.lexsort((rows["doc"], rows["s1"]))
+        at = runs(rows["s1"][order])
+        rows = rows[order]
+        rows = rows[rows["doc"] == np.repeat(rows["doc"][at], np.diff([*at, len(rows)]))]
+        where = (((mix(rows["t"]) >> U64(32)) * U64(self.buckets)) >> U64(32)).astype(np.int64)
+        salted = self.levels[counter_of(rows["t"])] >= self.frequent
+        where[salted] = self.buckets + (where[salted] + self.task) % self.buckets
+        where //= self.width
+        order = np.argsort(where, kind="stable")
+        rows, where = rows[order], where[order]
+        cut = [*runs(where), len(where)]
+        packets = [(int(where[a]), rows[a:b].tobytes()) for a, b in zip(cut, cut[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in packets], pa.int32()), pa.array([x for _, x in packets], pa.binary())], names=["bucket", "blob"])
+
+
+def first_order(k: int, num: int, den: int, level, buckets: int, width: int):
+    """Packets of prefix entries, each for ``width`` buckets."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = level.value
+        sender = Sender(levels, buckets, width)
         for ids, known, owner, values, n in blobs(batches, k):
             counts, s1, _ = signatures(owner, values, n)
             entry, place = prefixes(owner, orders(values, levels)[0], counts, num, den)
             text = owner[entry]
             rows = np.zeros(len(entry), ENTRY)
             rows["t"], rows["s1"], rows["doc"], rows["n"], rows["pos"] = values[entry], s1[text], ids[text], counts[text], place
-            held.append(rows[known[text]])
-            size += len(held[-1])
-            if size > SEND:
-                yield send()
-                held, size = [], 0
-        if size:
-            yield send()
+            yield from sender.take(rows[known[text]])
+        yield from sender.send()
+
+    return run
+
+
+def deal(level, buckets: int):
+    """Packets for many buckets as packets for one each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sender = Sender(level.value, buckets, 1)
+        for batch in batches:
+            for blob in batch.column("blob"):
+                yield from sender.take(np.frombuffer(blob.as_buffer(), ENTRY))
+        yield from sender.send()
 
     return run
 
@@ -192,44 +285,62 @@ def meet(buckets: int):
     return run
 
 
-WHOLE = "doc long, s1 long, p2 array<long>, p3 array<long>, tokens binary"
+WHOLE = "doc long, s1 long, tokens binary"
 
 
-def whole_sets(k: int, num: int, den: int, level):
+def whole_sets(k: int):
     """Sets of the texts, a repeated row once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for ids, known, owner, values, n in blobs(batches, k):
             counts, s1, _ = signatures(owner, values, n)
-            other = []
-            for keys in orders(values, level.value)[1:]:
-                entry, _ = prefixes(owner, keys, counts, num, den)
-                sizes = np.bincount(owner[entry], minlength=n)[:n]
-                other.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values[entry].view(np.int64))))
             bounds = np.concatenate([[0], np.cumsum(counts)])
             sets = [values[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
             keys = list(zip(ids.tolist(), s1.tolist(), strict=True))
             fresh = pa.array([key not in seen and not seen.add(key) for key in keys], pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=~known), pa.array(s1.view(np.int64)), *other, pa.array(sets, pa.binary())], names=["doc", "s1", "p2", "p3", "tokens"]).filter(fresh)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=~known), pa.array(s1.view(np.int64)), pa.array(sets, pa.binary())], names=["doc", "s1", "tokens"]).filter(fresh)
+
+    return run
+
+
+def plausible(num: int, den: int):
+    """Pairs whose histograms allow a link: the lesser counts of all cells bound the intersection from above."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), 4096):
+                part = batch.slice(a, 4096)
+                x, y = cells_of(part.column("x")), cells_of(part.column("y"))
+                most, total = np.minimum(x, y).sum(axis=1), x.sum(axis=1) + y.sum(axis=1)
+                yield part.select(PAIR).filter(pa.array(den * most >= num * (total - most)))
 
     return run
 
 
-def alike(num: int, den: int):
+def alike(num: int, den: int, level):
+    """Pairs that share prefix tokens under the other orders too, and whose sets are similar enough."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, x, y = (batch.column(c) for c in ("a", "b", "x", "y"))
             ok = np.zeros(len(batch), bool)
-            for k in range(len(batch)):
-                p, q = np.frombuffer(x[k].as_buffer(), U64), np.frombuffer(y[k].as_buffer(), U64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                ok[k] = den * both >= num * (len(p) + len(q) - both)
-            yield pa.RecordBatch.from_arrays([a.filter(pa.array(ok)), b.filter(pa.array(ok))], names=["a", "b"])
+            for k, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
+                p, q = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
+                ok[k] = all(np.isin(*sides).any() for sides in zip(other_prefixes(p, level.value, num, den), other_prefixes(q, level.value, num, den), strict=True))
+                if ok[k]:
+                    both = len(np.intersect1d(p, q, assume_unique=True))
+                    ok[k] = den * both >= num * (len(p) + len(q) - both)
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     return run
 
 
+def other_prefixes(tokens: np.ndarray, level: np.ndarray, num: int, den: int) -> list[np.ndarray]:
+    """A set's prefixes under the second and the third order."""
+    n = len(tokens) - -(-num * len(tokens) // den) + 1
+    return [tokens[np.argpartition(keys, n - 1)[:n]] for keys in orders(tokens, level)[1:]]
+
+
 def possible(num: int, den: int, x: str, y: str) -> Column:
     """Size bound, and position bound for the first token that two sets share."""
     nx, ny, px, py = (F.col(c) for c in (f"{x}.n", f"{y}.n", f"{x}.pos", f"{y}.pos"))
@@ -246,53 +357,63 @@ def pairs_of(joined: DataFrame, x: str, y: str) -> DataFrame:
     return joined.select(low["d"].alias("a"), low["s"].alias("sa"), high["d"].alias("b"), high["s"].alias("sb")).distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int, level) -> DataFrame:
-    """Links (a, b) among the pairs."""
-    need = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
-    texts = docs.join(small(stash(need.distinct())), "doc_id", "left_semi")
-    sets = stash(texts.select("doc_id", "text").mapInArrow(whole_sets(k, num, den, level), WHOLE))
-    # the other orders first, on their own columns; whole sets only for what is left
-    left, right = (sets.select(F.col("doc").alias(d), F.col("s1").alias(s), F.col("p2").alias(f"{d}2"), F.col("p3").alias(f"{d}3")) for d, s in (("a", "sa"), ("b", "sb")))
-    passed = left.join(small(pairs), ["a", "sa"]).join(right, ["b", "sb"]).where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select(PAIR)
-    passed = stash(passed)
-    left, right = (sets.select(F.col("doc").alias(d), F.col("s1").alias(s), F.col("tokens").alias(t)) for d, s, t in (("a", "sa", "x"), ("b", "sb", "y")))
-    return left.join(small(passed), ["a", "sa"]).join(right, ["b", "sb"]).select("a", "b", "x", "y").mapInArrow(alike(num, den), "a long, b long")
+def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, num: int, den: int, level, written: list[str]) -> DataFrame:
+    """Links (a, b) among the pairs. ``sets``: doc, s1 and histogram of the sets."""
+    left, right = (sets.select(F.col("doc_id").alias(d), F.col("s1").alias(s), F.col("cells").alias(x)) for d, s, x in (("a", "sa", "x"), ("b", "sb", "y")))
+    pairs = stash(right.join(small(pairs), ["b", "sb"]).join(left, ["a", "sa"]).select(*PAIR, "x", "y").mapInArrow(plausible(num, den), "a long, sa long, b long, sb long").distinct(), written)
+    need = pairs.select(F.col("a").alias("doc_id"), F.col("sa").alias("s1")).unionByName(pairs.select(F.col("b").alias("doc_id"), F.col("sb").alias("s1")))
+    texts = docs.join(small(stash(need.select("doc_id").distinct(), written)), "doc_id", "left_semi")
+    whole_ = stash(texts.select("doc_id", "text").mapInArrow(whole_sets(k), WHOLE), written)
+    # leaders are few: theirs are the sets that move once each, the others' once for a pair
+    leaders = whole_.join(small(stash(pairs.select(F.col("a").alias("doc"), F.col("sa").alias("s1")).distinct(), written)), ["doc", "s1"], "left_semi")
+    left, right = (rows.select(F.col("doc").alias(d), F.col("s1").alias(s), F.col("tokens").alias(t)) for rows, d, s, t in ((leaders, "a", "sa", "x"), (whole_, "b", "sb", "y")))
+    return right.join(small(pairs), ["b", "sb"]).join(left, ["a", "sa"]).select("a", "b", "x", "y").mapInArrow(alike(num, den, level), "a long, b long")
 
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest id with the same set) and component_id of each row."""
-    spark = docs.sparkSession
+    spark, written, kept = docs.sparkSession, [], []
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    buckets = partitions(spark)
-    scanned = stash(docs.mapInArrow(scan(shingle), SCAN))
-    slices = {r[0]: r[1] for r in scanned.where("slice is not null").select("slice", "blob").groupBy("slice").applyInArrow(add_slices, "slice int, level binary").collect()}
-    level = spark.sparkContext.broadcast(np.concatenate([np.frombuffer(bytes(slices[k]), np.uint8) for k in sorted(slices)] or [np.zeros(COUNTERS, np.uint8)]))
+    scanned = stash(docs.mapInArrow(scan(shingle), SCAN), kept)
+    level = spark.sparkContext.broadcast(levels_of(scanned))
     rows = scanned.where("slice is null").select("doc_id", "n", "s1", "s2")
+    sets = scanned.where("slice is null and doc_id is not null and n > 0").select("doc_id", "s1", "cells")
     classes = rows.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("c")).where("c > 1").drop("c")
-
-    sent = docs.mapInArrow(first_order(shingle, num, den, level, buckets), PACKET)
-    shared = stash(sent.groupBy("bucket").applyInArrow(meet(buckets), SHARED))
+    # written, so that the join to it is either a broadcast of a counted table or one that Spark can split
+    classes = small(stash(classes, kept))
+
+    entries = rows.where("n > 0").agg(F.sum(F.expr(f"n - ceil({num} * n / {den}) + 1"))).first()[0] or 0
+    buckets, held = max(1, parts_for(spark, int(entries), BUCKET_BYTES // ENTRY.itemsize), -(-int(entries) * ENTRY.itemsize // BUCKET_BYTES)), parts_for(spark, int(entries), BUCKET_BYTES // ENTRY.itemsize)
+    width = -(-2 * buckets // FAN)  # salted buckets are as many again
+    sent = docs.mapInArrow(first_order(shingle, num, den, level, buckets, width), PACKET).repartition(held, "bucket")
+    if width > 1:
+        sent = sent.mapInArrow(deal(level, buckets), PACKET).repartition(held, "bucket")
+    shared = stash(sent.groupBy("bucket").applyInArrow(meet(buckets), SHARED), written)
     salted = shared.where("salted").groupBy("t", "s1", "n", "pos").agg(F.min("doc").alias("doc"))
     e = shared.where("not salted").drop("salted").unionByName(salted)
     leaders = e.groupBy("t").agg(F.count("*").alias("c"), F.min(F.struct("pos", "doc", "s1", "n")).alias("l")).where("c > 1").select("t", "l.*")
     x, y = e.alias("x"), leaders.alias("y")
-    pairs = stash(pairs_of(x.join(y, "t").where((F.col("x.s1") != F.col("y.s1")) & possible(num, den, "x", "y")), "x", "y"))
-    links = stash(verified(pairs, docs, shingle, num, den, level))
+    pairs = stash(pairs_of(x.join(y, "t").where((F.col("x.s1") != F.col("y.s1")) & possible(num, den, "x", "y")), "x", "y"), written)
+    links = stash(verified(pairs, docs, sets, shingle, num, den, level, written), written)
 
-    # what may still connect two components
-    names = small(stash(components(links).withColumnRenamed("node", "doc")))
+    # what may still connect two components: x has the smaller set, y one of at most den/num its size
+    names = small(stash(components(links).withColumnRenamed("node", "doc"), written))
     named = e.join(names, "doc", "left").select("t", "doc", "s1", "n", "pos", F.coalesce("component", "doc").alias("c"))
     several = named.groupBy("t").agg(F.min("c").alias("l"), F.max("c").alias("h")).where("l <> h").select("t")
-    named = stash(named.join(small(stash(several)), "t", "left_semi"))
-    x, y = named.alias("x"), named.alias("y")
-    crossing = F.struct("x.doc", "x.s1") < F.struct("y.doc", "y.s1")
-    more = pairs_of(x.join(y, "t").where((F.col("x.c") != F.col("y.c")) & crossing & possible(num, den, "x", "y")), "x", "y")
-    more = stash(more.join(pairs, PAIR, "left_anti"))
-    links = stash(links.unionByName(verified(more, docs, shingle, num, den, level)))
-
-    names = components(links).withColumnRenamed("node", "class_id")
-    out = rows.join(classes, ["s1", "s2", "n"], "left").withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")))
-    return out.join(names, "class_id", "left").select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    named = stash(named.join(small(stash(several, written)), "t", "left_semi").withColumn("block", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int") if num < den else F.col("n")), written)
+    x, y = named.withColumn("block", F.explode(F.array("block", F.col("block") + 1))).alias("x"), named.alias("y")
+    smaller = F.struct("x.n", "x.doc", "x.s1") < F.struct("y.n", "y.doc", "y.s1")
+    more = pairs_of(x.join(y, ["t", "block"]).where((F.col("x.c") != F.col("y.c")) & smaller & possible(num, den, "x", "y")), "x", "y")
+    more = stash(more.join(pairs, PAIR, "left_anti"), written)
+    links = links.unionByName(verified(more, docs, sets, shingle, num, den, level, written))
+
+    # rows of one id are one document: its classes are linked
+    placed = rows.join(classes, ["s1", "s2", "n"], "left").withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")))
+    several = placed.where("doc_id is not null").groupBy("doc_id").agg(F.min("class_id").alias("l"), F.max("class_id").alias("h")).where("l <> h").select("doc_id", "l")
+    own = placed.join(small(stash(several, written)), "doc_id").where("class_id <> l").select(F.col("l").alias("a"), F.col("class_id").alias("b")).distinct()
+    names = small(stash(components(stash(links.unionByName(own), written)).withColumnRenamed("node", "class_id"), kept))
+    drop_tables(spark, written)
+    return placed.join(names, "class_id", "left").select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
