@@ -49,8 +49,51 @@ def test_tsv(spark, tmp_path):
     assert text_of(tmp_path / "out") == ["path\tsentence\tclient", 'a\\\tb\t"q\t', "c\tback\\\\slash\tz"]
 
 
+def test_tsv_of_long_and_odd_fields(spark, tmp_path):
+    """A field of a megabyte, many escapes, the marks themselves, short lines and long ones."""
+    long, many, odd = "x" * 1_000_000, "a\t" * 50_000, "\uffff0\ufffe1\ufffe\uffff\\"
+    rows = spark.createDataFrame([(0, long, odd), (1, many, "\\\\\t"), (2, "", odd * 3)], "idx long, a string, b string")
+    sinks.tsv(rows, str(tmp_path / "t"))
+    assert sorted(map(tuple, readers.tsv(spark, str(tmp_path / "t")).collect())) == sorted(map(tuple, rows.collect()))
+    assert [tuple(r) for r in readers.tsv(spark, put(tmp_path / "s", "a\tb\nonly\n")).collect()] == [(0, "only", "")]
+    with pytest.raises(Exception, match="more than 2 fields"):
+        readers.tsv(spark, put(tmp_path / "l", "a\tb\n1\t2\t3\n")).collect()
+
+
+def test_lines_over_many_splits(spark, tmp_path):
+    path = put(tmp_path / "many", "".join(f"line {k}\n" for k in range(5000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        got = readers.lines(spark, path)
+        assert got.rdd.getNumPartitions() > 3 and {r.idx: r.value for r in got.collect()} == {k: f"line {k}" for k in range(5000)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert readers.lines(spark, put(tmp_path / "none", "")).count() == 0
+
+
+def test_nested_configuration():
+    source = readers.SourceConfig.from_text("path: 'a#b'  # where\nsplit: x\nfs:\n  s3a:\n    endpoint: \"http://h:1\"\n    retries: 3\nmode: FAILFAST\n")
+    assert source.path == "a#b" and source.options == {"fs.s3a.endpoint": "http://h:1", "fs.s3a.retries": "3", "mode": "FAILFAST"}
+
+
+def test_saved_splits(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "d/train"))
+    put(tmp_path / "d/dataset_dict.json", '{"splits": ["train"]}')
+    assert readers.scan(spark, readers.SourceConfig(str(tmp_path / "d"), split="train"), ["id"]).count() == 3
+    with pytest.raises(KeyError, match="not test"):
+        readers.scan(spark, readers.SourceConfig(str(tmp_path / "d"), split="test"))
+
+
+def test_json_array(spark, tmp_path):
+    df = spark.createDataFrame([(4, "ä\n{"), (1, None), (2, '"')], "idx long, t string").repartition(3)
+    for rows, want in ((df, [{"t": None}, {"t": '"'}, {"t": "ä\n{"}]), (df.where("idx = 2"), [{"t": '"'}]), (df.where("idx > 9"), [])):
+        sinks.json_array(rows, str(tmp_path / "a"))
+        assert json.loads("\n".join(text_of(tmp_path / "a"))) == want
+
+
 def test_scores_and_templates(spark, tmp_path):
-    path = put(tmp_path / "s.json", json.dumps({"m": [{"COMET": 0.5}, {"COMET": 1.0}]}))
+    path = put(tmp_path / "s.json", json.dumps({"m": [{"COMET": 0.5}, {"COMET": 1.0}]}, indent=2))
     from voxtable.operators.stats import mean_scores
 
     assert [tuple(r) for r in mean_scores(readers.scores(spark, path)).collect()] == [("m", 0.75)]

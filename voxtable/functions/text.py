@@ -129,12 +129,17 @@ def normalize(x: Column | str) -> Column:
     return F.regexp_replace(F.lower(out), r"(?U)\s+", " ")
 
 
-#: Fixed values of the English normaliser: contractions and titles, as (pattern, replacement).
+#: Fixed values of the English normaliser: the contractions, titles and tenses of the public Whisper English text
+#: normaliser (openai/whisper, MIT licence), as (pattern, replacement), in its order.
 ENGLISH = (
     (r"\bwon't\b", "will not"), (r"\bcan't\b", "can not"), (r"\blet's\b", "let us"), (r"\bain't\b", "aint"), (r"\by'all\b", "you all"),
     (r"\bwanna\b", "want to"), (r"\bgotta\b", "got to"), (r"\bgonna\b", "going to"), (r"\bi'ma\b", "i am going to"), (r"\bimma\b", "i am going to"),
     (r"\bwoulda\b", "would have"), (r"\bcoulda\b", "could have"), (r"\bshoulda\b", "should have"), (r"\bma'am\b", "madam"),
-    (r"\bmr\b", "mister "), (r"\bmrs\b", "missus "), (r"\bst\b", "saint "), (r"\bdr\b", "doctor "), (r"\bprof\b", "professor "),
+    (r"\bmr\b", "mister "), (r"\bmrs\b", "missus "), (r"\bst\b", "saint "), (r"\bdr\b", "doctor "), (r"\bprof\b", "professor "), (r"\bcapt\b", "captain "),
+    (r"\bgov\b", "governor "), (r"\bald\b", "alderman "), (r"\bgen\b", "general "), (r"\bsen\b", "senator "), (r"\brep\b", "representative "),
+    (r"\bpres\b", "president "), (r"\brev\b", "reverend "), (r"\bhon\b", "honorable "), (r"\basst\b", "assistant "), (r"\bassoc\b", "associate "),
+    (r"\blt\b", "lieutenant "), (r"\bcol\b", "colonel "), (r"\bjr\b", "junior "), (r"\bsr\b", "senior "), (r"\besq\b", "esquire "),
+    (r"'d been\b", " had been"), (r"'s been\b", " has been"), (r"'d gone\b", " had gone"), (r"'s gone\b", " has gone"), (r"'d done\b", " had done"), (r"'s got\b", " has got"),
     (r"n't\b", " not"), (r"'re\b", " are"), (r"'s\b", " is"), (r"'d\b", " would"), (r"'ll\b", " will"), (r"'t\b", " not"), (r"'ve\b", " have"), (r"'m\b", " am"),
 )
 FILLERS = r"\b(hmm|mm|mhm|mmm|uh|um)\b"
@@ -147,9 +152,9 @@ def normalize_english(x: Column | str) -> Column:
     """
     out = F.lower(_col(x))
     out = F.regexp_replace(F.regexp_replace(out, r"[<\[][^>\]]*[>\]]", ""), r"\(([^)]+?)\)", "")
-    out = F.regexp_replace(F.regexp_replace(out, FILLERS, ""), r"\s+'", "'")
-    for pattern, plain in ENGLISH:
-        out = F.regexp_replace(out, pattern, plain)
+    out = F.regexp_replace(F.regexp_replace(out, f"(?U){FILLERS}", ""), r"\s+'", "'")
+    for pattern, plain in ENGLISH:  # (?U): word ends are those of all scripts
+        out = F.regexp_replace(out, f"(?U){pattern}", plain)
     out = F.regexp_replace(F.regexp_replace(out, r"(\d),(\d)", "$1$2"), r"\.([^0-9]|$)", " $1")
     out = F.regexp_replace(out, r"[\p{M}\p{S}\p{P}&&[^.%$¢€£]]", " ")
     out = F.regexp_replace(F.regexp_replace(out, r"[.$¢€£]([^0-9])", " $1"), r"([^0-9])%", "$1 ")

@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +12,6 @@ from pyspark.sql.types import IntegerType
 
 from voxtable.functions.bind import bind
 from voxtable.functions.text import strip
-from voxtable.functions.units import MOST, unit_char
 
 
 def words_of(x: Column | str) -> Column:
@@ -23,41 +21,39 @@ def words_of(x: Column | str) -> Column:
 
 
 def word_distance(a: Sequence[str], b: Sequence[str]) -> int:
-    """Edit distance of two lists of words of any number, a row of the matrix at once."""
-    known: dict[str, int] = {}
-    a, b = (np.array([known.setdefault(w, len(known)) for w in x], np.int64) for x in sorted((a, b), key=len))
-    for _ in range(2):  # what both start with, then what both end with
-        other = np.flatnonzero(a != b[: len(a)])
-        same = int(other[0]) if len(other) else len(a)
-        a, b = a[same:][::-1], b[same:][::-1]
-    places = np.arange(len(b) + 1)
-    row = places
-    for i, word in enumerate(a, 1):
-        step = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (b != word))])
-        row = np.minimum.accumulate(step - places) + places
-    return int(row[-1])
+    """Edit distance of two lists of words of any number, a column of the matrix at once in the bits of two integers
+    (Myers 1999, as Hyyrö 2003 states it)."""
+    a, b = sorted((a, b), key=len)
+    start = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    a, b = a[start:], b[start:]
+    end = next((i for i, (x, y) in enumerate(zip(reversed(a), reversed(b))) if x != y), len(a))
+    a, b = a[: len(a) - end], b[: len(b) - end]
+    if not a:
+        return len(b)
+    where: dict[str, int] = {}
+    for i, word in enumerate(a):
+        where[word] = where.get(word, 0) | 1 << i
+    whole, last, distance = (1 << len(a)) - 1, len(a) - 1, len(a)
+    plus, minus = whole, 0
+    for word in b:
+        equal = where.get(word, 0)
+        diagonal = (((equal & plus) + plus) ^ plus) | equal | minus
+        up, down = minus | ~(diagonal | plus) & whole, plus & diagonal
+        distance += (up >> last & 1) - (down >> last & 1)
+        up, down = up << 1 & whole | 1, down << 1 & whole
+        plus, minus = down | ~(diagonal | up) & whole, up & diagonal
+    return distance
 
 
 @F.pandas_udf(IntegerType())
-def long_edits(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
-    return pd.Series([None if a is None or b is None else word_distance(a, b) for a, b in zip(reference, hypothesis, strict=True)], dtype="Int32")
+def edits_of_words(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
+    return pd.Series([None if a is None or b is None else word_distance(list(a), list(b)) for a, b in zip(reference, hypothesis, strict=True)], dtype="Int32")
 
 
 def edits(reference: Column | str, hypothesis: Column | str) -> Column:
-    """Word edit distance: each distinct word of the pair becomes one character, then Spark's ``levenshtein`` counts.
-
-    Pairs so long that they may have more words than there are characters go to ``long_edits``.
-    """
-
-    def distance(x: Column) -> Column:
-        chars = lambda words: F.array_join(F.transform(words, lambda w: unit_char(F.array_position(x["known"], w) - 1)), "")
-        return F.levenshtein(chars(x["r"]), chars(x["h"]))
-
-    pair = F.struct(words_of(reference).alias("r"), words_of(hypothesis).alias("h"))
-    short = bind(pair, lambda p: bind(F.struct(p["r"].alias("r"), p["h"].alias("h"), F.array_distinct(F.concat(p["r"], p["h"])).alias("known")), distance))
-    length = lambda x: F.length(F.col(x) if isinstance(x, str) else x)
-    long = length(reference) + length(hypothesis) > 2 * MOST - 2  # n characters have (n + 1) / 2 words at most
-    return F.when(long, long_edits(F.when(long, words_of(reference)), F.when(long, words_of(hypothesis)))).otherwise(short)
+    """Word edit distance. Spark's ``levenshtein`` compares characters and has a matrix of them, so this is an Arrow-batched
+    function whose steps are machine words of the matrix's column."""
+    return edits_of_words(words_of(reference), words_of(hypothesis))
 
 
 def word_errors(df: DataFrame, reference: str, hypothesis: str, keys: Sequence[str] = ()) -> DataFrame:

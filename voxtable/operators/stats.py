@@ -22,9 +22,8 @@ def mean_by(df: DataFrame, key: str, value: str, name: str = "mean") -> DataFram
 
 
 def mean_scores(scores: DataFrame, score: str = "COMET") -> DataFrame:
-    """(key, mean) for rows of (scores: map<key, array<struct<score>>>)."""
-    each = scores.select(F.explode("scores").alias("key", "list")).select("key", F.explode("list").alias("x"))
-    return each.groupBy("key").agg(F.avg(F.col("x")[score]).alias(score))
+    """(key, mean) for rows of (key, score)."""
+    return mean_by(scores, "key", score, score)
 
 
 def total(df: DataFrame, column: str, name: str = "total") -> DataFrame:

@@ -6,8 +6,6 @@ makes it from the row's own columns, in the query and in the SQL alike.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,27 +15,11 @@ from voxtable.functions import text as X
 from voxtable.functions import units as U
 from voxtable.operators import batching, evaluate, kmeans, prompts, relational as R, seams, sequence, stats, vectors, vocab
 from voxtable.plans import pipelines
+from voxtable.plans.register import QUERIES, SQL, Query, query, table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
 TEMPLATE = "Language: {lang}\nSpeech: {dsu_seq}\n{lang}:"
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def labelled(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
 
@@ -190,8 +172,8 @@ def mean_by_key(spark, d):
 
 @query("SELECT event_type AS key, round(avg(value), 6) AS \"COMET\" FROM events GROUP BY event_type")
 def mean_scores(spark, d):
-    lists = table(spark, d, "events").groupBy("event_type").agg(F.collect_list(F.struct(F.col("value").alias("COMET"))).alias("l"))
-    return stats.mean_scores(lists.select(F.create_map("event_type", "l").alias("scores"))).withColumn("COMET", F.round("COMET", 6))
+    rows = table(spark, d, "events").select(F.col("event_type").alias("key"), F.col("value").alias("COMET"))
+    return stats.mean_scores(rows).withColumn("COMET", F.round("COMET", 6))
 
 
 @query("""SELECT doc_id, n_chars / 16000.0::DOUBLE AS samples, n_chars / 32000.0::DOUBLE AS bytes, (n_chars * 2 - n_chars)::DOUBLE AS times, n_chars::DOUBLE AS duration,
@@ -448,7 +430,7 @@ def kmeans_fit(spark, d):
 @query()
 def kmeans_batches(spark, d):
     rows = table(spark, d, "embeddings")
-    model = kmeans.fit_batches(kmeans.batches_of(rows, ["vec_id"], 250), "embedding", kmeans.start(rows, "embedding", 10), check_every=2)
+    model, _ = kmeans.fit_batches(kmeans.batches_of(rows, ["vec_id"], 250), "embedding", kmeans.start(rows, "embedding", 10), check_every=2)
     return kmeans.codebook(spark, model.centers)
 
 
@@ -523,16 +505,32 @@ def word_errors(spark, d):
     return pipelines.word_error_table(docs.select("idx", F.col("text").alias("reference")), heard, ["lang"]).withColumn("wer", F.round("wer", 9))
 
 
-@query("SELECT 100.0::DOUBLE AS bleu")
+#: The hypothesis says "and" where the reference says "the", and lacks its last words.
+HEARD = r"regexp_replace(regexp_replace(text, '\b[Tt]he\b', 'and', 'g'), '(\s+\S+){3}$', '')"
+#: Matches of n-grams that are arrays ``ws`` of parts in r and h, clipped in each row.
+MATCHES = """g AS (SELECT item_id, side, n, ws[k:k + n - 1] AS g, count(*) AS c FROM t, (SELECT unnest(range(1, {orders} + 1)) AS n), LATERAL (SELECT unnest(range(1, len(ws) - n + 2)) AS k) GROUP BY ALL),
+m AS (SELECT r.n, sum(least(r.c, h.c)) AS m FROM g r JOIN g h ON r.item_id = h.item_id AND r.n = h.n AND r.g = h.g AND r.side = 'r' AND h.side = 'h' GROUP BY r.n),
+s AS (SELECT n, sum(c) FILTER (side = 'h') AS h, sum(c) FILTER (side = 'r') AS r FROM g GROUP BY n),
+x AS (SELECT s.n, coalesce(m, 0) AS m, h, r FROM s LEFT JOIN m USING (n))"""
+
+
+def _heard(spark, d):
+    text = F.regexp_replace(F.regexp_replace("text", r"\b[Tt]he\b", "and"), r"(\s+\S+){3}$", "")
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("idx"), "text", text.alias("hypothesis"))
+
+
+@query(f"""WITH t AS (SELECT item_id, 'r' AS side, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') AS ws FROM benchmark
+UNION ALL SELECT item_id, 'h', list_filter(string_split_regex({HEARD}, '\\s+'), lambda w: w <> '') FROM benchmark), {MATCHES.format(orders=4)}
+SELECT round(100 * (SELECT CASE WHEN h >= r THEN 1 ELSE exp(1 - r / h) END FROM x WHERE n = 1) * exp(sum(ln(m / h)) / 4), 6) AS bleu FROM x""")
 def bleu(spark, d):
-    rows = table(spark, d, "benchmark").select(F.col("item_id").alias("idx"), "text", F.col("text").alias("hypothesis"))
-    return evaluate.bleu(rows, "text", "hypothesis").select(F.round("bleu", 6).alias("bleu"))
+    return evaluate.bleu(_heard(spark, d), "text", "hypothesis").select(F.round("bleu", 6).alias("bleu"))
 
 
-@query("SELECT 100.0::DOUBLE AS chrf")
+@query(f"""WITH t AS (SELECT item_id, 'r' AS side, list_filter(string_split(regexp_replace(text, '\\s+', '', 'g'), ''), lambda w: w <> '') AS ws FROM benchmark
+UNION ALL SELECT item_id, 'h', list_filter(string_split(regexp_replace({HEARD}, '\\s+', '', 'g'), ''), lambda w: w <> '') FROM benchmark), {MATCHES.format(orders=6)}
+SELECT round(100 * 5 * p * r / (4 * p + r), 6) AS chrf FROM (SELECT avg(m / h) AS p, avg(m / r) AS r FROM x)""")
 def chrf(spark, d):
-    rows = table(spark, d, "benchmark").select(F.col("item_id").alias("idx"), "text", F.col("text").alias("hypothesis"))
-    return evaluate.chrf(rows, "text", "hypothesis").select(F.round("chrf", 6).alias("chrf"))
+    return evaluate.chrf(_heard(spark, d), "text", "hypothesis").select(F.round("chrf", 6).alias("chrf"))
 
 
 @query(r"""WITH v AS (SELECT w AS piece, row_number() OVER (ORDER BY w) - 1 AS rank FROM (SELECT DISTINCT unnest(string_split_regex(text, '\s+')) AS w FROM benchmark) WHERE w <> ''),
@@ -567,8 +565,10 @@ def generated_text(spark, d):
 
 
 def queries() -> dict[str, Query]:
+    from voxtable.plans import roundtrips  # noqa: F401  registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return {name: sql for name in queries() if (sql := SQL.get(name))}

@@ -1,12 +1,13 @@
 """Readers of corpora, manifests, line files, JSON lines, TSV, features, templates, vocabularies and scores.
 
-``read.text`` ends lines at LF, CR and CRLF, as universal newlines do. Line numbers come from ``zipWithIndex`` on a freshly
-read file, whose partitions are in file order.
+``read.text`` ends lines at LF, CR and CRLF, as universal newlines do. Lines are numbered by the split of the file that
+they come from, in the order of files and of the splits' places in them, without Python.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -19,15 +20,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxtable.functions.text import DEFAULT_TEMPLATE, first_field, path_join, stem, strip
-from voxtable.operators.relational import IDX, slice_rows, suffix_filter
-
-LINE = T.StructType([T.StructField("value", T.StringType()), T.StructField(IDX, T.LongType())])
-
+from voxtable.operators.relational import IDX, numbered, slice_rows, suffix_filter, with_index
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value, idx) of one file."""
-    read = spark.read.option("wholetext", "false").text(path)
-    return read.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])).toDF(LINE)
+    """(value, idx) of one file, or of the files of a folder one after another.
+
+    A split's lines are read in order by one task, so their running numbers less the split's least one are their places in
+    it; the splits before it, one row each, give the offset.
+    """
+    read = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start").withColumn("__id64", F.monotonically_increasing_id())
+    splits = read.groupBy("file_path", "file_block_start").agg(F.count("*").alias("n"), F.min("__id64").alias("first"))
+    before = F.sum("n").over(W.orderBy("file_path", "file_block_start")) - F.col("n") - F.col("first")
+    splits = splits.select("file_path", "file_block_start", before.alias("__shift"))
+    return read.join(F.broadcast(splits), ["file_path", "file_block_start"]).select("value", (F.col("__id64") + F.col("__shift")).alias(IDX))
 
 
 def many_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -79,21 +84,28 @@ def json_fields(spark: SparkSession, path: str, fields: Mapping[str, str]) -> Da
     return lines(spark, path).select(IDX, *(F.get_json_object("value", p).alias(k) for k, p in fields.items()))
 
 
+#: In a line, ``MARK`` follows a character that a backslash escaped; both marks are spelt out where a text has them.
+MARK, SPELL = "\uffff", "\ufffe"
+
+
 def tsv(spark: SparkSession, path: str) -> DataFrame:
     """idx and the columns of a TSV file with a header, without quotes, with backslash escapes; empty is not null.
 
-    Fields are split at tabs that no backslash escapes, then a backslash before a character is dropped.
+    A backslash is dropped and the character after it taken as it is, so tabs that one escapes don't end a field. Fields
+    that a line lacks are empty; a line with more fields than the header is an error. The patterns have no repeated
+    groups, so fields may be of any length.
     """
     rows = lines(spark, path)
     head = rows.where(F.col(IDX) == 0).first()
     if head is None:
         raise ValueError(f"{path} has no header")
     names = head["value"].split("\t")
-    # a marker that no text holds takes the place of an unescaped tab
-    cut = F.split(F.regexp_replace("value", r"((?:[^\\\t]|\\.)*)\t", "$1￿"), "￿", -1)
-    plain = F.transform(cut, lambda x: F.regexp_replace(x, r"(?s)\\(.)", "$1"))
-    body = rows.where(F.col(IDX) > 0).withColumn("__f", plain)
-    return body.select((F.col(IDX) - 1).alias(IDX), *(F.try_element_at("__f", F.lit(k + 1)).alias(n) for k, n in enumerate(names)))
+    spelt = F.replace(F.replace("value", F.lit(SPELL), F.lit(SPELL + "0")), F.lit(MARK), F.lit(SPELL + "1"))
+    cut = F.split(F.regexp_replace(spelt, r"(?s)\\(.)", f"$1{MARK}"), rf"\t(?!{MARK})", -1)
+    plain = F.transform(cut, lambda x: F.replace(F.replace(F.replace(x, F.lit(MARK), F.lit("")), F.lit(SPELL + "1"), F.lit(MARK)), F.lit(SPELL + "0"), F.lit(SPELL)))
+    long = F.concat(F.lit(f"{path}: a line has more than {len(names)} fields: line "), F.col(IDX).cast("string"))
+    body = rows.where(F.col(IDX) > 0).withColumn("__f", F.when(F.size(plain) <= len(names), plain).otherwise(F.raise_error(long)))
+    return body.select((F.col(IDX) - 1).alias(IDX), *(F.coalesce(F.try_element_at("__f", F.lit(k + 1)), F.lit("")).alias(n) for k, n in enumerate(names)))
 
 
 def features(spark: SparkSession, files: Sequence[str] | None = None, folders: Sequence[str] | None = None, n: int = 0) -> DataFrame:
@@ -132,16 +144,15 @@ def parallel_text(df: DataFrame, splits: Sequence[str], languages: Sequence[str]
 
 
 def scores(spark: SparkSession, path: str, json_lines: bool = False) -> DataFrame:
-    """(scores map<string, array<struct<COMET double>>>) of a JSON file; JSON lines stand under the key "scores"."""
-    one = "struct<COMET:double>"
+    """(key, COMET) of a JSON file that maps keys to lists of scores; JSON lines, a score each, stand under "scores"."""
     if json_lines:
-        rows = spark.read.text(path).where(F.length("value") > 0).select(F.from_json("value", "COMET double").alias("x"))
-        return rows.groupBy().agg(F.collect_list("x").alias("l")).select(F.create_map(F.lit("scores"), "l").alias("scores"))
-    return spark.read.option("wholetext", "true").text(path).select(F.from_json("value", f"map<string,array<{one}>>").alias("scores"))
+        return score_rows(spark, path)
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,array<struct<COMET:double>>>").alias("x"))
+    return whole.select(F.explode("x").alias("key", "l")).select("key", F.explode("l").alias("s")).select("key", F.col("s.COMET").alias("COMET"))
 
 
 def score_rows(spark: SparkSession, path: str, key: str = "scores") -> DataFrame:
-    """(key, COMET) of JSON lines, a row each: for files whose lines don't fit into one map."""
+    """(key, COMET) of JSON lines, a row each."""
     return spark.read.text(path).where(F.length("value") > 0).select(F.lit(key).alias("key"), F.from_json("value", "COMET double")["COMET"].alias("COMET"))
 
 
@@ -193,36 +204,61 @@ class SourceConfig:
 
     @classmethod
     def from_text(cls, text: str) -> SourceConfig:
-        """From flat YAML: ``key: value`` lines, quotes and comments allowed."""
-        values = {}
+        """From YAML of mappings: ``key: value`` lines, quotes and comments allowed, nested mappings by indentation.
+
+        Options of nested mappings have dotted names, as Spark's reader options do.
+        """
+        values: dict[str, str] = {}
+        above: list[tuple[int, str]] = []
         for line in text.splitlines():
-            line = line.split(" #")[0].strip()
-            if line and not line.startswith("#"):
-                key, _, value = line.partition(":")
-                values[key.strip()] = value.strip().strip("'\"")
+            line = re.sub(r"""^((?:[^'"#]|'[^']*'|"[^"]*")*?)\s+#.*$|^#.*$""", r"\1", line.rstrip())
+            if not line.strip():
+                continue
+            depth, (key, _, value) = len(line) - len(line.lstrip()), line.strip().partition(":")
+            above = [x for x in above if x[0] < depth]
+            value = value.strip()
+            name = ".".join([*(k for _, k in above), key.strip().strip("'\"")])
+            if value:
+                values[name] = value[1:-1] if value[0] in "'\"" and value[-1] == value[0] else value
+            else:
+                above.append((depth, key.strip()))
         known = {k: values.pop(k) for k in ("path", "config", "split", "filter_mic", "format") if k in values}
         if "path" not in known:
             raise KeyError("a configuration has a path")
         return cls(**known, options=values)
 
 
+def saved_splits(spark: SparkSession, path: str) -> list[str] | None:
+    """The splits of a dataset saved in a folder (``dataset_dict.json`` lists them, a folder of files each), else None."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(f"{path}/dataset_dict.json")
+    if not where.getFileSystem(conf).exists(where):
+        return None
+    return json.loads(spark.read.text(where.toString(), wholetext=True).first()[0])["splits"]
+
+
 def scan(spark: SparkSession, source: SourceConfig, order: Sequence[str] = (), start: int = 0, n: int = 0, drop_audio: bool = False, file_col: str = "file") -> DataFrame:
-    """A configured source as rows with ``idx``: TSV manifests by their reader, else Spark's reader of the format.
+    """A configured source as rows with ``idx``: a folder of saved splits by the split's own folder, TSV manifests by their
+    reader, else Spark's reader of the format.
 
-    The split is a partition filter where the data has a ``split`` column; ``order`` are the columns that order the rows
-    (a manifest has its own). Slicing comes before the index, which is therefore the slice's own.
+    Otherwise the split is a partition filter where the data has a ``split`` column; ``order`` are the columns that order
+    the rows (a manifest has its own; without any it is the files' order). Slicing comes before the index, which is
+    therefore the slice's own.
     """
-    from voxtable.operators.relational import with_index
-
-    if source.path.endswith(".tsv"):
-        rows = manifest(spark, source.path)
-    else:
-        rows = spark.read.format(source.format).options(**source.options).load(source.path if source.config is None else f"{source.path}/{source.config}")
-        if source.split is not None and "split" in rows.columns:
-            rows = rows.where(F.col("split") == source.split)
-        if source.filter_mic is not None:
-            rows = suffix_filter(rows, file_col, source.filter_mic)
-        rows = rows.drop("audio") if drop_audio else rows
-        if IDX not in rows.columns:
-            rows = with_index(rows, *order) if order else rows.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(T.StructType([*rows.schema.fields, T.StructField(IDX, T.LongType())]))
+    splits = saved_splits(spark, source.path)
+    if splits is None and source.path.endswith(".tsv"):
+        return slice_rows(manifest(spark, source.path), start, n)
+    path = source.path if source.config is None else f"{source.path}/{source.config}"
+    if splits is not None:
+        if source.split not in splits:
+            raise KeyError(f"{source.path} has the splits {', '.join(splits)}, not {source.split}")
+        path = f"{source.path}/{source.split}"
+    rows = spark.read.format(source.format).options(**source.options).load(path)
+    if splits is None and source.split is not None and "split" in rows.columns:
+        rows = rows.where(F.col("split") == source.split)
+    if source.filter_mic is not None:
+        rows = suffix_filter(rows, file_col, source.filter_mic)
+    rows = rows.drop("audio") if drop_audio else rows
+    if IDX not in rows.columns:
+        rows = with_index(rows, *order) if order else numbered(rows)
     return slice_rows(rows, start, n)

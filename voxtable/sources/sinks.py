@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import struct
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +45,23 @@ def json_rows(df: DataFrame, path: str, order: str = IDX) -> None:
     text_lines(df, F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), path, order)
 
 
+def json_array(df: DataFrame, path: str, order: str = IDX, indent: int = 2) -> None:
+    """All rows as one indented JSON array over the files in the order of their names: brackets and commas are lines' own.
+
+    Every row is a line or several of the text, so no task holds the array.
+    """
+    names = [c for c in df.columns if c != order]
+    row = F.to_json(F.struct(*names), {"ignoreNullFields": "false", "pretty": "true"})
+    rows = df.select(row.alias("value"), F.col(order).cast("long").alias(order))
+    ends = rows.agg(F.min(order).alias("first"), F.max(order).alias("last")).first()
+    if ends["first"] is None:
+        rows = df.sparkSession.createDataFrame([("[]", 0)], "value string, idx long").withColumnRenamed(IDX, order)
+        return text_lines(rows, "value", path, order)
+    pad, at = " " * indent, F.col(order)
+    body = F.concat(F.lit(pad), F.replace("value", F.lit("\n"), F.lit("\n" + pad)))
+    text_lines(rows, F.concat(F.when(at == ends["first"], "[\n").otherwise(""), body, F.when(at == ends["last"], "\n]").otherwise(",")), path, order)
+
+
 def feature_shards(df: DataFrame, path: str, hours: str, per_shard: float, keys: Sequence[str] = (), order: Sequence[str] = (IDX,)) -> None:
     """Parquet in folders by shard; a shard ends with the row that reaches ``per_shard`` hours. Appends."""
     total_shards(df, hours, per_shard, keys, order).write.mode("append").partitionBy(*keys, "shard").parquet(path)
@@ -89,3 +107,32 @@ def vocabulary(df: DataFrame, path: str) -> None:
 
 def checkpoint_centers(book: DataFrame, path: str, step: int) -> None:
     book.write.mode("overwrite").parquet(f"{path}/out.{step}")
+
+
+def _varint(n: int) -> bytes:
+    out = bytearray()
+    while True:
+        low, n = n & 0x7F, n >> 7
+        out.append(low | (0x80 if n else 0))
+        if not n:
+            return bytes(out)
+
+
+#: Fixed values of the public SentencePiece model format: kinds of pieces.
+NORMAL, UNKNOWN, CONTROL, USER_DEFINED = 1, 2, 3, 4
+
+
+def model_pieces(df: DataFrame) -> Iterator[bytes]:
+    """The pieces (rank, piece, score, kind) in the SentencePiece model format: field 1 of the model, once for each."""
+    for r in df.orderBy("rank").select("piece", "score", "kind").toLocalIterator():
+        text = r["piece"].encode()
+        body = b"\x0a" + _varint(len(text)) + text + b"\x15" + struct.pack("<f", r["score"]) + b"\x18" + _varint(r["kind"])
+        yield b"\x0a" + _varint(len(body)) + body
+
+
+def extended_model(old: bytes, added: DataFrame) -> bytes:
+    """A SentencePiece model with further pieces: fields of a message may come in any order, so they are put at its end.
+
+    A vocabulary is of a model's size, tens of thousands of rows, which one file of this format holds in any case.
+    """
+    return old + b"".join(model_pieces(added))
