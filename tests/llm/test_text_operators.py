@@ -95,6 +95,23 @@ def test_substring_dedup(docs, rows, n):
     assert any(r.n_removed for r in got)
 
 
+def test_substring_dedup_in_two_steps(docs, rows, monkeypatch):
+    """More buckets than one task deals out at once: packets go by ranges of buckets first."""
+    monkeypatch.setattr(substring_dedup, "GROUP_BYTES", 3000)
+    monkeypatch.setattr(substring_dedup, "FAN", 3)
+    monkeypatch.setattr(substring_dedup, "SEND_WORDS", 700)
+    got = substring_dedup.deduplicate(docs, window=5).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept.hex()) for r in got) == dedup_of(rows, 5)
+
+
+def test_substring_dedup_of_one_id(spark):
+    """Very many rows of one id, with the same and other texts, are one document and lie in several groups."""
+    text = " ".join(f"x{k}" for k in range(20))
+    rows = [(7, text if k % 2 else f"{text} y{k}") for k in range(60)] + [(5, text), (9, text), (None, text)]
+    got = substring_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept.hex()) for r in got) == dedup_of(rows, 13)
+
+
 def test_substring_dedup_texts(docs, rows, empty):
     got = substring_dedup.deduplicate(docs, keep_text=True, carry=("text", "grp")).collect()
     assert Counter((r.doc_id, r.carry0, r.carry1) for r in got) == Counter((r[0], r[1], r[6]) for r in rows)

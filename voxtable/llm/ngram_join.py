@@ -391,7 +391,9 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = stash(sent.groupBy("bucket").applyInArrow(meet(buckets), SHARED), written)
     salted = shared.where("salted").groupBy("t", "s1", "n", "pos").agg(F.min("doc").alias("doc"))
     e = shared.where("not salted").drop("salted").unionByName(salted)
+    # written: a token that very many classes share is then joined by broadcast, or by a join that Spark can split
     leaders = e.groupBy("t").agg(F.count("*").alias("c"), F.min(F.struct("pos", "doc", "s1", "n")).alias("l")).where("c > 1").select("t", "l.*")
+    leaders = small(stash(leaders, written))
     x, y = e.alias("x"), leaders.alias("y")
     pairs = stash(pairs_of(x.join(y, "t").where((F.col("x.s1") != F.col("y.s1")) & possible(num, den, "x", "y")), "x", "y"), written)
     links = stash(verified(pairs, docs, sets, shingle, num, den, level, written), written)

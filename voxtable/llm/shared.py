@@ -1,61 +1,31 @@
-"""The shared folder for intermediate tables, and small helpers that the operators have in common."""
+"""Helpers that the operators have in common: tables on the way, checked broadcasts, numbers of partitions."""
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxtable import scratch
+from voxtable.scratch import drop_tables, folder
+
+__all__ = ["drop_tables", "folder", "free", "parts_for", "partitions", "short_batches", "small", "stash", "table"]
 
 #: Rows of an Arrow batch: texts are long, and both the JVM and the Python worker hold a whole batch, or several.
 BATCH_ROWS = 1000
 
 
 def short_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
-def folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``.
-
-    Where that is unset, a session whose executors are threads of the driver (tests, bench) gets a temporary folder, once,
-    which goes with the process. On a cluster executors couldn't see such a folder, so there it is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="voxtable-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        base = f"file://{base}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def stash(df: DataFrame, into: list[str] | None = None, **options: str) -> DataFrame:
-    """The rows of ``df``, written to the shared folder and read again: cuts the lineage and survives lost executors.
-
-    ``into`` gets the table's path, for ``drop_tables`` once nothing reads it any more.
-    """
-    spark, path = df.sparkSession, folder(df.sparkSession)
-    short_batches(spark)
-    df.write.options(**({"compression": "zstd"} | options)).parquet(path)
-    if into is not None:
-        into.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Shortens the session's Arrow batches, where they are longer. Plans take this setting when they run, so it stays."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def drop_tables(spark: SparkSession, paths: Iterable[str]) -> None:
-    """Deletes tables of the shared folder, on whatever file system it is."""
-    for path in paths:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def stash(df: DataFrame, into: list[str] | None = None) -> DataFrame:
+    """``scratch.stash`` with short Arrow batches, as ``df`` may have texts."""
+    short_batches(df.sparkSession)
+    return scratch.stash(df, into)
 
 
 #: Numbers (long) in a table that is broadcast at most: its hash table stays near 64 MB whatever the input's size.

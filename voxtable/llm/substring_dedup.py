@@ -13,11 +13,17 @@ of the non-overlapping blocks, probed with every rolling 7-word window, misses n
 3. removal: windows with an answer below their own document's id are removed; adjacent ones merge into maximal repeats.
 
 Rows between the steps are packed arrays, one for each pair of group and bucket, and distinct within a group: a
-passage or a copy that a third of all documents share is one entry a group. Nothing is collected to the driver but one
-sum. Anchors may be false hits (45 bits or more tell them apart); windows are told apart by 64 bits and their bucket.
-
-Defined results: a null text has no words; a row with a null id keeps its whole text and is no reference; rows with
-the same id are one document's, none of them smaller; further columns of the input don't matter.
+passage or a copy that a third of all documents share is one entry a group. Groups and buckets are as many as the text
+needs, shuffle partitions ``MOST_PARTITIONS`` at most, each with many of them. Beyond ``FAN`` buckets a packet is for a
+range of buckets first and a second step deals ranges out, packets of many groups together, so packets stay large. Nothing
+is collected to the driver but one sum. Anchors may be false hits (45 bits or more tell them apart). Windows are told
+apart by 64 bits: among w distinct windows that hold an anchor, some two of different words are taken for one with a
+chance below w * w / 2**65 (3e-8 for a million of them, 3e-2 for a billion).
+
+Defined results: a null text has no words; a very long text lies in one group, which it then fills alone; a row with a
+null id keeps its whole text and is no reference; rows with the same id are one document's, none of them smaller, and lie
+in groups by their texts; there are no ties, as windows count at the smallest id; an empty table gives no rows; further
+columns of the input don't matter.
 """
 
 from __future__ import annotations
@@ -33,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxtable.llm.kernel import U64, Words, cover, member, mix, rows_of, runs, whole
-from voxtable.llm.shared import partitions, short_batches
+from voxtable.llm.shared import partitions, parts_for, short_batches
 from voxtable.llm.shared import table as read_table
 
 WINDOW = 13
@@ -41,7 +47,11 @@ WINDOW = 13
 GROUP_BYTES = 8 << 20
 #: Probes that a task of step 1 gathers before it sends them.
 SEND_WORDS = 1_000_000
+#: Buckets that one task deals out at once.
+FAN = 4096
 PACKED = 5
+#: In place of a group's number: a packet of many groups.
+MANY = -1
 
 TEXTS = "grp int, doc_id long, z binary"
 NOT_CARRIED = 3
@@ -97,8 +107,8 @@ def squeezed(docs: DataFrame, groups: int, id_col: str, text_col: str, carry: tu
             texts = pa.array([None if t is None else press.compress(t) for t in texts], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts, *batch.columns[NOT_CARRIED:]], names=["grp", "doc_id", "z", *batch.schema.names[NOT_CARRIED:]])
 
-    # a null id has no fixed hash of its own: its group comes from the text
-    grp = F.pmod(F.coalesce(F.xxhash64(id_col), F.lit(0)) + F.when(F.col(id_col).isNull(), F.xxhash64(text_col) % 1_000_003).otherwise(0), F.lit(groups))
+    # by id and text: neither a null id nor one of very many rows is one group
+    grp = F.pmod(F.xxhash64(id_col, text_col), F.lit(groups))
     rows = docs.select(grp.cast("int").alias("grp"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"carry{k}") for k, c in enumerate(carry)))
     kinds = dict(rows.dtypes)
     return rows.mapInArrow(run, ", ".join([TEXTS, *(f"carry{k} {kinds[f'carry{k}']}" for k in range(len(carry)))]))
@@ -129,7 +139,13 @@ def per_document(values: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.nd
     return values[new], ids[new]
 
 
-def index_and_probe(block: int, buckets: int):
+def cuts(where: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(bucket, start, end) of the runs of sorted buckets."""
+    edges = [*runs(where).tolist(), len(where)]
+    return ((int(where[a]), a, b) for a, b in zip(edges, edges[1:]))
+
+
+def index_and_probe(block: int, buckets: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = defaultdict(list)
         size: dict[int, int] = defaultdict(int)
@@ -145,13 +161,13 @@ def index_and_probe(block: int, buckets: int):
                 # 1: a reference block; 2: more than one document of the group has it
                 kind = np.maximum.reduceat(blocked, at).astype(np.int8) + 2 * (np.maximum.reduceat(ids, at) != np.minimum.reduceat(ids, at))
             hashes = hashes[at]
-            where, rows = bucket_of(hashes, buckets), []
+            where = bucket_of(hashes, buckets) // U64(width)
             order = np.lexsort((kind, where))
             hashes, where, kind = hashes[order], where[order], kind[order]
-            cut = [*runs(where), len(where)]
-            for a, b in zip(cut, cut[1:]):
-                counts = np.bincount(kind[a:b], minlength=4).astype("<u4")
-                rows.append((int(where[a]), grp, counts.tobytes() + pack(hashes[a:b])))
+            rows = []
+            for bucket, a, b in cuts(where):
+                counts = np.bincount(kind[a:b], minlength=4).astype("<u4").tobytes()
+                rows.append((bucket, grp, counts + (pack(hashes[a:b]) if width == 1 else hashes[a:b].astype("<u8").tobytes())))
             return table(rows, SENT_ARROW)
 
         for batch in batches:
@@ -173,27 +189,58 @@ def index_and_probe(block: int, buckets: int):
     return run
 
 
+def deal_probes(buckets: int):
+    """Packets of ranges of buckets as packets of one bucket and many groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def send() -> pa.RecordBatch:
+            hashes, grps, kinds = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            where = bucket_of(hashes, buckets)
+            order = np.argsort(where, kind="stable")
+            hashes, grps, kinds, where = hashes[order], grps[order], kinds[order], where[order]
+            return table([(bucket, MANY, grps[a:b].astype("<u4").tobytes() + kinds[a:b].tobytes() + pack(hashes[a:b])) for bucket, a, b in cuts(where)], SENT_ARROW)
+
+        for batch in batches:
+            for grp, blob in zip(batch.column("grp").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                hashes = np.frombuffer(blob, "<u8", -1, 16)
+                held.append((hashes, np.full(len(hashes), grp), np.repeat(np.arange(4, dtype=np.int8), np.frombuffer(blob, "<u4", 4))))
+                size += len(hashes)
+                if size > SEND_WORDS:
+                    yield send()
+                    size = 0
+        if held:
+            yield send()
+
+    return run
+
+
+def opened(grp: int, blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, groups, kinds) of a packet of probes."""
+    if grp != MANY:
+        hashes = unpack(blob[16:])
+        return hashes, np.full(len(hashes), grp, np.int64), np.repeat(np.arange(4, dtype=np.int8), np.frombuffer(blob, "<u4", 4))
+    n = len(blob) // (5 + PACKED)
+    return unpack(blob[5 * n :]), np.frombuffer(blob, "<u4", n).astype(np.int64), np.frombuffer(blob, np.int8, n, 4 * n)
+
+
 def anchors(key, rows):
     """One bucket: the hashes that are a block of one document and a probe of another, for each group that has them."""
-    grps, blobs = rows.column("grp").to_pylist(), rows.column("blob").to_pylist()
-    hashes, kinds = [], []
-    for blob in blobs:
-        counts = np.frombuffer(blob, "<u4", 4)
-        hashes.append(unpack(blob[16:]))
-        kinds.append(np.repeat(np.arange(4, dtype=np.int8), counts))
-    every, kind = np.concatenate(hashes), np.concatenate(kinds)
+    packets = zip(rows.column("grp").to_pylist(), rows.column("blob").to_pylist(), strict=True)
+    every, grps, kind = (np.concatenate(x) for x in zip(*(opened(*p) for p in packets), strict=True))
     # one group may have sent the same hash twice, from two documents: those count as two
     order = np.argsort(every, kind="stable")
-    every, kind = every[order], kind[order]
+    every, grps, kind = every[order], grps[order], kind[order]
     at = runs(every)
-    times = np.diff([*at, len(every)])
-    shared = every[at][(np.bitwise_or.reduceat(kind, at) & 1 > 0) & ((times > 1) | (np.bitwise_or.reduceat(kind, at) & 2 > 0))]
-    out = []
-    for grp, have in zip(grps, hashes, strict=True):
-        mine = have[member(have, shared) >= 0]
-        if len(mine):
-            out.append((grp, np.int32(key[0].as_py()).tobytes() + pack(mine)))
-    return pa.Table.from_batches([table(out, ANSWER_ARROW)])
+    times, kinds = np.diff([*at, len(every)]), np.bitwise_or.reduceat(kind, at)
+    shared = np.repeat((kinds & 1 > 0) & ((times > 1) | (kinds & 2 > 0)), times)
+    every, grps = every[shared], grps[shared]
+    order = np.argsort(grps, kind="stable")
+    every, grps = every[order], grps[order]
+    head = np.int32(key[0].as_py()).tobytes()
+    return pa.Table.from_batches([table([(grp, head + pack(every[a:b])) for grp, a, b in cuts(grps)], ANSWER_ARROW)])
 
 
 def anchor_windows(words: Words, known: np.ndarray, table_: dict[int, np.ndarray], block: int, window: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -219,7 +266,7 @@ def anchor_windows(words: Words, known: np.ndarray, table_: dict[int, np.ndarray
     return at[ok], windows[ok]
 
 
-def extend(block: int, window: int, buckets: int):
+def extend(block: int, window: int, buckets: int, width: int):
     def run(key, docs, hits):
         found: dict[int, list] = defaultdict(list)
         for blob in hits.column("blob").to_pylist():
@@ -235,32 +282,56 @@ def extend(block: int, window: int, buckets: int):
             at = runs(values)
             least, most = owners[at], owners[np.concatenate([at[1:], [len(owners)]]) - 1]
             values = values[at]
-            where = bucket_of(mix(values), buckets)
+            where = bucket_of(mix(values), buckets) // U64(width)
             order = np.argsort(where, kind="stable")
-            cut = [*runs(where[order]), len(order)]
-            for a, b in zip(cut, cut[1:]):
+            for bucket, a, b in cuts(where[order]):
                 o = order[a:b]
-                rows.append((int(where[o[0]]), key[0].as_py(), squeeze(values[o], least[o].view(U64), (least[o] != most[o]).astype(U64))))
+                rows.append((bucket, key[0].as_py(), squeeze(values[o], least[o].view(U64), (least[o] != most[o]).astype(U64))))
         return pa.Table.from_batches([table(rows, SENT_ARROW)])
 
     return run
 
 
+def deal_windows(buckets: int):
+    """Packets of ranges of buckets as packets of one bucket and many groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def send() -> pa.RecordBatch:
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            held.clear()
+            where = bucket_of(mix(columns[0]), buckets)
+            order = np.argsort(where, kind="stable")
+            return table([(bucket, MANY, squeeze(*(c[order[a:b]] for c in columns))) for bucket, a, b in cuts(where[order])], SENT_ARROW)
+
+        for batch in batches:
+            for grp, blob in zip(batch.column("grp").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                arrays = expand(blob)
+                held.append((*arrays, np.full(len(arrays[0]), grp, U64)))
+                size += len(arrays[0])
+                if size > SEND_WORDS:
+                    yield send()
+                    size = 0
+        if held:
+            yield send()
+
+    return run
+
+
 def smallest(key, rows):
     """One bucket: for each group the windows for which a document with a smaller id than some of its own has them."""
     sent = [expand(blob) for blob in rows.column("blob").to_pylist()]
-    values = np.concatenate([x[0] for x in sent])
-    least = np.concatenate([x[1].view(np.int64) for x in sent])
-    order = np.lexsort((least, values))
+    grps = np.concatenate([x[3].astype(np.int64) if grp == MANY else np.full(len(x[0]), grp) for grp, x in zip(rows.column("grp").to_pylist(), sent, strict=True)])
+    values, own, several = (np.concatenate([x[k] for x in sent]) for k in range(3))
+    own = own.view(np.int64)
+    order = np.lexsort((own, values))
     at = runs(values[order])
-    values, least = values[order][at], least[order][at]
-    out = []
-    for grp, (mine, own, several) in zip(rows.column("grp").to_pylist(), sent, strict=True):
-        low = least[np.searchsorted(values, mine)]
-        ok = (low < own.view(np.int64)) | (several > 0)
-        if ok.any():
-            out.append((grp, squeeze(mine[ok], low[ok].view(U64))))
-    return pa.Table.from_batches([table(out, ANSWER_ARROW)])
+    low = np.empty(len(values), np.int64)
+    low[order] = np.repeat(own[order][at], np.diff([*at, len(values)]))
+    keep = np.flatnonzero((low < own) | (several > 0))
+    keep = keep[np.argsort(grps[keep], kind="stable")]
+    return pa.Table.from_batches([table([(grp, squeeze(values[keep[a:b]], low[keep[a:b]].view(U64))) for grp, a, b in cuts(grps[keep])], ANSWER_ARROW)])
 
 
 RESULT = "doc_id long, n_words long, n_removed long, spans array<struct<first:long,last:long>>, kept binary"
@@ -324,12 +395,17 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     short_batches(spark)
     # a sum sets the number of groups, so that a group's size doesn't grow with the input
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    groups = max(partitions(spark), -(-total // GROUP_BYTES))
-    texts = squeezed(docs, groups, id_col, text_col, carry).repartition(groups, "grp")
-    probes = texts.select("grp", "doc_id", "z").mapInArrow(index_and_probe(block, groups), SENT)
-    hits = probes.groupBy("bucket").applyInArrow(anchors, ANSWER)
-    windows = texts.groupBy("grp").cogroup(hits.groupBy("grp")).applyInArrow(extend(block, window, groups), SENT)
-    answers = windows.groupBy("bucket").applyInArrow(smallest, ANSWER)
+    groups, parts = max(partitions(spark), -(-total // GROUP_BYTES)), parts_for(spark, total, GROUP_BYTES)
+    width = -(-groups // FAN)
+    texts = squeezed(docs, groups, id_col, text_col, carry).repartition(parts, "grp")
+    probes = texts.select("grp", "doc_id", "z").mapInArrow(index_and_probe(block, groups, width), SENT)
+    if width > 1:
+        probes = probes.repartition(parts, "bucket").mapInArrow(deal_probes(groups), SENT)
+    hits = probes.repartition(parts, "bucket").groupBy("bucket").applyInArrow(anchors, ANSWER)
+    windows = texts.groupBy("grp").cogroup(hits.repartition(parts, "grp").groupBy("grp")).applyInArrow(extend(block, window, groups, width), SENT)
+    if width > 1:
+        windows = windows.repartition(parts, "bucket").mapInArrow(deal_windows(groups), SENT)
+    answers = windows.repartition(parts, "bucket").groupBy("bucket").applyInArrow(smallest, ANSWER).repartition(parts, "grp")
     kinds = dict(texts.dtypes)
     result = ", ".join([RESULT, *(f"carry{k} {kinds[f'carry{k}']}" for k in range(len(carry)))])
     return texts.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(remove(window, keep_text), result)
