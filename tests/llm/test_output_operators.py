@@ -203,9 +203,20 @@ def test_encoder_by_word(texts):
     assert lens.tolist() == list(map(len, want)) and flat.tolist() == [i for x in want for i in x]
 
 
-@pytest.mark.parametrize(("by_word", "segment"), [(True, 1 << 20), (False, 50)])
-def test_token_files(spark, docs, rows, by_word, segment, monkeypatch):
+def test_tokenizers_that_keep_words_apart():
+    assert token_output.Encoder(VOCABULARY).by_word and not token_output.Encoder(public_tokenizers.path("byte_bpe_50k.json")).by_word
+    import pyarrow as pa
+
+    from voxtable.llm.kernel import text_arrays
+
+    with pytest.raises(ValueError, match="by_word=False"):
+        token_output.Encoder(public_tokenizers.path("byte_bpe_50k.json"), 2, True).block(*text_arrays(pa.array(["one two three"])))
+
+
+@pytest.mark.parametrize(("by_word", "segment", "files"), [(None, 1 << 20, 8), (False, 50, 8), (True, 50, 1)])
+def test_token_files(spark, docs, rows, by_word, segment, files, monkeypatch):
     monkeypatch.setattr(token_output, "SEGMENT_IDS", segment)
+    monkeypatch.setattr(token_output, "FILE_SEGMENTS", files)
     path = folder(spark)
     token_output.write(docs, path, VOCABULARY, by_word=by_word)
     got = token_output.read(spark, path, with_ids=True).orderBy("start").collect()
@@ -263,3 +274,20 @@ def test_packing(spark, docs, rows, empty, monkeypatch):
         assert sum(r.n_words for r in b) <= 50 and len({r.source for r in b}) == 1 and len({r.cluster for r in b}) == len(b)
         assert sorted(r.place for r in b) == list(range(len(b)))
     assert packing.pack(empty).count() == 0
+
+
+def test_packing_of_one_row_many_times(spark, monkeypatch):
+    """Rows without an id and with one text are dealt to several groups; each bin still has a cluster once."""
+    monkeypatch.setattr(packing, "GROUP_ROWS", 20)
+    docs = spark.createDataFrame([(None, "a b c", "s")] * 200 + [(k, f"t{k}", "s") for k in range(40)], "doc_id long, text string, source string").repartition(4)
+    got = packing.pack(docs, capacity=12).collect()
+    groups = Counter(r.bin.split("-")[0] for r in got)
+    assert len(got) == 240 and max(groups.values()) < 80
+    assert len({(r.bin, r.cluster) for r in got}) == 240
+
+
+def test_packing_by_given_clusters(spark):
+    rows = [(k, f"text {k}", "s", k // 3 if k < 9 else None) for k in range(20)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string, grp int"), capacity=100, cluster_col="grp").collect()
+    bins = {r.doc_id: r.bin for r in got}
+    assert all(len({bins[k] for k in range(c, c + 3)}) == 3 for c in (0, 3, 6)) and len(set(bins.values())) == 3

@@ -223,7 +223,10 @@ def test_decontamination(spark, empty):
 def found(spark, items: dict[int, str], texts: dict[int, str]) -> set[tuple[int, int]]:
     """(doc_id, item_id) of the contaminated pairs."""
     table = lambda x, name: spark.createDataFrame(list(x.items()), f"{name} long, text string")
-    return {(r.doc_id, r.item_id) for r in decontamination.contaminated(table(texts, "doc_id"), table(items, "item_id")).collect()}
+    pairs = {(r.doc_id, r.item_id) for r in decontamination.contaminated(table(texts, "doc_id"), table(items, "item_id")).collect()}
+    ids = [r.doc_id for r in decontamination.contaminated_ids(table(texts, "doc_id"), table(items, "item_id")).collect()]
+    assert sorted(ids) == sorted({d for d, _ in pairs})
+    return pairs
 
 
 def test_decontamination_of_verbatim_copies(spark):
@@ -249,6 +252,88 @@ def test_decontamination_of_values_that_become_equal(spark):
     assert found(spark, items, texts) == {(10, 1), (11, 2), (14, 3)}
 
 
+TOKEN = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+(?:[^\x20\x09-\x0D]*[0-9A-Za-z\x80-\U0010ffff]+)?")
+
+
+def slow_forms(text: str) -> list[list[tuple[str, str, str]]]:
+    """(type or "", what the template has, the value) of each token, in the four forms, token by token."""
+    out, kinds, plain = [], [], []
+    before_number, starts = False, True
+    for word in words(text):
+        found = TOKEN.search(word)
+        core = found[0] if found else ""
+        if core:
+            digits, letters = sum(c.isdigit() for c in core), sum(c.isalpha() for c in core)
+            number = digits > 0 and (letters == 0 or core[0].isdigit() and letters <= 4)
+            upper = core[0].isupper()
+            kind = "number" if number else "unit" if before_number and core.lower() in decontamination.UNITS else "name" if upper and not starts else ""
+            kinds.append((kind, upper))
+            plain.append(core.lower())
+            before_number = number
+        starts = word[-1] in ".!?:"
+    for form in range(4):
+        row = []
+        for (kind, upper), value in zip(kinds, plain, strict=True):
+            spelt = "" if kind == "name" else kind
+            shown = (kind, spelt, "", "name" if spelt == "" and upper else spelt)[form]
+            row.append((shown, f"<{shown}>" if shown else value, value))
+        out.append(row)
+    return out
+
+
+def slow_windows(text: str, k: int) -> list[tuple]:
+    """(form, template, slots) of the windows of k tokens."""
+    forms, out = slow_forms(text), []
+    count = lambda window, test: sum(map(test, window))
+    for at in range(len(forms[0]) - k + 1):
+        base, spelt, _, capitals = (f[at : at + k] for f in forms)
+        literal = [count(w, lambda x: not x[0]) for w in (base, spelt, spelt, capitals)]
+        values = count(spelt, lambda x: bool(x[0]))
+        use = [k >= 5 and 2 * literal[0] >= k, k >= 5 and 2 * literal[1] >= k and any(x[0] == "name" for x in base), k < 5 or values > 0]
+        use.append(k >= 5 and 4 * literal[3] >= k and 2 * (k - values) >= k and (any(a[0] != b[0] for a, b in zip(base, capitals)) or 2 * literal[0] < k))
+        out += [(form, " ".join(x[1] for x in forms[form][at : at + k]), [(x[0], x[2]) for x in forms[form][at : at + k] if x[0]]) for form in range(4) if use[form]]
+    return out
+
+
+def slow_contaminated(items: dict[int, str], texts: dict[int, str]) -> set[tuple[int, int]]:
+    found = set()
+    for i, item in items.items():
+        n = len(slow_forms(item)[0])
+        k = min(n, decontamination.WINDOW)
+        for d, text in texts.items() if k else ():
+            for _, template, slots in slow_windows(text, k):
+                for _, other, given in slow_windows(item, k):
+                    if template != other or [t for t, _ in slots] != [t for t, _ in given]:
+                        continue
+                    one = lambda v: [(t, decontamination.UNITS[x] if t == "unit" else x) for t, x in v]
+                    pairs = list(zip(one(given), one(slots)))
+                    equal = sum(a == b and a[0] == "name" for a, b in pairs)
+                    if len(set(pairs)) == len({a for a, _ in pairs}) and 2 * (k - len(given) + equal) >= k:
+                        found.add((d, i))
+    return found
+
+
+def test_decontamination_of_slots_against_brute_force(spark):
+    """Numbers, names, units, sentence starts and short items, with slots changed at random."""
+    rng = np.random.default_rng(8)
+    words_ = ["buys", "sells", "the", "apples", "walks", "and", "then", "to", "red", "old"]
+    pick = lambda x: x[int(rng.integers(0, len(x)))]
+
+    def make(n):
+        out = []
+        while len(out) < n:
+            out += pick([[pick(words_)], [pick(words_)], [pick(["Anna", "Bert", "Cleo"])], [str(rng.integers(1, 9)), pick(["km", "hours", "hour", "x"])], [pick(words_) + "."]])
+        return out
+
+    items, texts = {i: make(int(rng.integers(2, 19))) for i in range(14)}, {}
+    for d in range(90):
+        copy = [pick(["Anna", "Bert", "Cleo"]) if w in ("Anna", "Bert", "Cleo") and rng.random() < 0.4 else str(rng.integers(1, 9)) if w.isdigit() and rng.random() < 0.5 else w for w in items[d % 14]]
+        texts[d] = make(int(rng.integers(0, 9))) + copy + make(int(rng.integers(0, 9)))
+    items, texts = ({k: " ".join(v) for k, v in x.items()} for x in (items, texts))
+    want = slow_contaminated(items, texts)
+    assert found(spark, items, texts) == want and 20 < len(want) < 90 * 14 / 2
+
+
 def test_decontamination_against_brute_force(spark):
     """Over lower-case words without numbers, templates are the words: pairs are those that share 13 in a row."""
     rng = np.random.default_rng(5)

@@ -14,9 +14,11 @@ those with fewer than half their tokens literal, have no placeholders: every win
 spelt out, so a verbatim copy is found whatever it consists of. Punctuation is no token, so such a copy may differ in it,
 and an item of one or two tokens is found wherever they stand. A bitmap of fixed size made from the benchmark's
 windows is broadcast and drops nearly all of the documents' windows on the spot, before the join compares whole
-templates. The join itself has no side whose size is taken on trust: Spark chooses by the written sizes.
+templates. The join itself has no side whose size is taken on trust: Spark chooses by the written sizes, and splits the
+partition of a template that very many documents have.
 
-Defined results: a null text or item has no tokens; a null document id is an id of its own; rows with the same id are
+Defined results: a null text or item has no tokens; a very long text is read whole, in windows; ties don't matter, as all
+shared windows count; a null document id is an id of its own; rows with the same id are
 judged together; repeated items count once each; an empty table gives no rows; further columns don't matter.
 """
 
@@ -185,8 +187,8 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array((at >> 5).astype(np.int32)), pa.array(np.int64(1) << (at & 31))], names=["word", "bits"])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """doc_id, item_id, n_windows, n_exact (same values in all slots), first_word of each pair that shares a window."""
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, how: str) -> DataFrame:
+    """Windows of documents (d) joined with items' (i) that have their template and consistent slots."""
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col(item_text_col).alias("text"))
     lengths = tuple(range(1, WINDOW + 1))
     items = stash(items.mapInArrow(find(lengths, whole_only=True), FOUND))
@@ -194,16 +196,33 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     used = tuple(sorted(r[0] for r in items.select("k").distinct().collect()))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.lit(0).cast("long").alias("row"), F.col(text_col).alias("text"))
     found = texts.mapInArrow(find(used, bitmap_of(items)), FOUND).alias("d")
-    same = found.join(items.alias("i"), (F.col("d.h") == F.col("i.h")) & (F.col("d.k") == F.col("i.k")) & (F.col("d.template") == F.col("i.template")))
+    # an item whose windows stand in it, or in other items, several times: each template and its slots once an item
+    items = items.dropDuplicates(["h", "id", "k", "template", "slots"]).alias("i")
     n = lambda c: F.size(F.array_distinct(c))
     pairs = F.arrays_zip(F.col("d.keys").alias("a"), F.col("i.keys").alias("b"))
     consistent = n(pairs) == n(F.col("i.keys"))
     equal = F.size(F.filter(pairs, lambda x: (x["a"] == x["b"]) & x["a"].startswith(HOLDERS[NAME])))
     enough = 2 * (F.col("i.k") - F.size("i.slots") + equal) >= F.col("i.k")
-    return same.where(consistent & enough).groupBy(F.col("d.id").alias("doc_id"), F.col("i.id").alias("item_id")).agg(
+    return found.join(items, (F.col("d.h") == F.col("i.h")) & (F.col("d.k") == F.col("i.k")) & (F.col("d.template") == F.col("i.template")) & consistent & enough, how)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """doc_id, item_id, n_windows, n_exact (same values in all slots), first_word of each pair that shares a window.
+
+    The result has a row for each such pair, so a template that many items share gives as many rows as it has items for
+    each document; see ``contaminated_ids`` for the documents alone.
+    """
+    same = matches(docs, benchmark, id_col, text_col, item_col, item_text_col, "inner")
+    return same.groupBy(F.col("d.id").alias("doc_id"), F.col("i.id").alias("item_id")).agg(
         F.count_distinct("d.at").alias("n_windows"), F.count_distinct(F.when(F.col("d.slots") == F.col("i.slots"), F.col("d.at"))).alias("n_exact"), F.min("d.at").cast("long").alias("first_word")
     )
 
 
+def contaminated_ids(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """doc_id of the documents that share a window with any item: a window stops at its first item, so the work and the
+    rows follow the windows found and not their pairs."""
+    return matches(docs, benchmark, id_col, text_col, item_col, item_text_col, "left_semi").select(F.col("d.id").alias("doc_id")).distinct()
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

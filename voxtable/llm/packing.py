@@ -2,15 +2,19 @@
 
 Texts are cut into pieces of ``CAPACITY`` words at most; pieces go into bins of that capacity, longest first, each into the
 tightest bin that it fits in and doesn't conflict with. Conflicts: a bin holds no two pieces of one duplicate cluster
-(equal words, whatever their case and spacing), and pieces of ``MOST_SOURCES`` sources at most. Bins are kept in the
+(``cluster_col`` where given, as by the n-gram join's components; else equal words, whatever their case and spacing), and
+pieces of ``MOST_SOURCES`` sources at most. Bins are kept in the
 order of their residuals and carry bitmaps of their sources and clusters; from the tightest bin that
 is large enough the search goes on to the successor until a compatible one is found, or opens a bin.
 
 Pieces are dealt to groups of about ``GROUP_ROWS`` by a hash of the id, whatever their source or cluster, and a group
-is packed by one task; only ids, counts and hashes move. At most one bin a group and conflict pattern is left open.
+is packed by one task; only ids, counts and hashes move. Rows of an id and text that are more than a group takes are found
+by a count and dealt out by their own numbers. At most one bin a group and conflict pattern is left open.
 
-Defined results: a null or empty text has one piece of no words; null sources are one source; a null id is packed like
-another; equal rows are packed each; an empty table gives no rows; further columns don't matter.
+Defined results: a null or empty text has one piece of no words; a very long text has as many pieces as it needs, of one
+cluster, so each is in another bin; null sources are one source; null clusters conflict with nothing; a null id is packed
+like another; equal rows are packed each; ties go by id, piece, cluster and source; an empty table gives no rows; further
+columns don't matter.
 """
 
 from __future__ import annotations
@@ -24,13 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxtable.llm.kernel import FOLDED, U64, mix, rows_of
-from voxtable.llm.shared import stash, table
+from voxtable.llm.shared import parts_for, small, stash, table
 
 CAPACITY, MOST_SOURCES = 2048, 8
 GROUP_ROWS = 20_000
 MAP_BITS = 256
 
-MEASURED = "doc_id long, known boolean, n_words long, cluster long, source string"
+MEASURED = "doc_id long, known boolean, n_words long, cluster long, source string, given string"
 
 
 def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,7 +48,7 @@ def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 place = np.arange(len(words)) - np.repeat(words.first[:-1], words.counts)
                 cluster[have] += np.add.reduceat(mix(hashes ^ mix(place.astype(U64) + U64(1))), words.first[:-1][have])
             ids = batch.column(0).slice(start, n)
-            yield pa.RecordBatch.from_arrays([ids, ids.is_valid(), pa.array(words.counts.astype(np.int64)), pa.array(cluster.view(np.int64)), batch.column(2).slice(start, n)], names=["doc_id", "known", "n_words", "cluster", "source"])
+            yield pa.RecordBatch.from_arrays([ids, ids.is_valid(), pa.array(words.counts.astype(np.int64)), pa.array(cluster.view(np.int64)), batch.column(2).slice(start, n), batch.column(3).slice(start, n)], names=["doc_id", "known", "n_words", "cluster", "source", "given"])
 
 
 class Bin:
@@ -111,18 +115,26 @@ def pack_group(capacity: int, most: int):
     return run
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", capacity: int = CAPACITY, most_sources: int = MOST_SOURCES) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", capacity: int = CAPACITY, most_sources: int = MOST_SOURCES, cluster_col: str | None = None) -> DataFrame:
     """bin, place, doc_id, piece, first_word, n_words, source, cluster of each piece."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).cast("string").alias("source"))
-    rows = stash(rows.mapInArrow(measure, MEASURED))
+    given = F.lit(None) if cluster_col is None else F.col(cluster_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).cast("string").alias("source"), given.cast("string").alias("given"))
+    rows = rows.mapInArrow(measure, MEASURED).withColumn("row", F.monotonically_increasing_id())
+    if cluster_col is not None:  # a null cluster is the row's own
+        rows = rows.withColumn("cluster", F.coalesce(F.xxhash64(F.when(F.col("given").isNotNull(), F.col("given")), F.lit(1)) + F.when(F.col("given").isNull(), F.col("row")).otherwise(0)))
+    rows = stash(rows.drop("given"))
     last = F.greatest(F.ceil(F.col("n_words") / capacity).cast("long"), F.lit(1).cast("long")) - 1
-    pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), last))).select(
-        "doc_id", F.col("piece").cast("int"), (F.col("piece") * capacity).alias("first_word"), F.least(F.col("n_words") - F.col("piece") * capacity, F.lit(capacity)).alias("n"), "source", "cluster"
-    )
     total = rows.agg(F.sum(last + 1)).first()[0] or 0
     groups = max(1, -(-total // GROUP_ROWS))
-    group = F.pmod(F.xxhash64("doc_id", "piece", "cluster"), F.lit(groups)).cast("int")
-    return pieces.withColumn("grp", group).groupBy("grp").applyInArrow(pack_group(capacity, most_sources), PACKED)
+    # ids and texts with more rows than a group takes: total / GROUP_ROWS of them at most
+    heavy = rows.groupBy("doc_id", "cluster").count().where(F.col("count") > GROUP_ROWS).select(F.col("doc_id").alias("__d"), F.col("cluster").alias("__c"), F.lit(True).alias("heavy"))
+    rows = rows.join(small(stash(heavy)), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("cluster") == F.col("__c")), "left")
+    pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), last))).select(
+        "doc_id", F.col("piece").cast("int"), (F.col("piece") * capacity).alias("first_word"), F.least(F.col("n_words") - F.col("piece") * capacity, F.lit(capacity)).alias("n"), "source", "cluster", F.when(F.col("heavy"), F.col("row")).alias("own")
+    )
+    group = F.pmod(F.xxhash64("doc_id", "piece", "cluster", "own"), F.lit(groups)).cast("int")
+    pieces = pieces.withColumn("grp", group).drop("own").repartition(parts_for(docs.sparkSession, groups, 1), "grp")
+    return pieces.groupBy("grp").applyInArrow(pack_group(capacity, most_sources), PACKED)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

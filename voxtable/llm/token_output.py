@@ -1,7 +1,9 @@
 """Token ids in patched frame-of-reference blocks (operator 8).
 
-Documents are put in order by range partitions of their ids, each text is encoded whole, and every partition writes one
-file of segments. Spark's own text writer writes them (record separator: ``MARK``), so files go wherever Spark can write.
+Documents are put in order by range partitions of their ids, each text is encoded whole, and every partition writes
+files of ``FILE_SEGMENTS`` segments at most. Partitions are ``MOST_PARTITIONS`` at most: beyond that they write more files
+each, so a file's size doesn't grow with the input. Spark's own text writer writes them (record separator: ``MARK``), so
+files go wherever Spark can write.
 
 A segment holds up to ``SEGMENT_IDS`` ids of successive documents:
 
@@ -14,11 +16,15 @@ A segment holds up to ``SEGMENT_IDS`` ids of successive documents:
 The width is what ``PERCENTILE`` of a block's differences fit in. Blocks are cut without regard to documents, so one
 document's ids are found by its offset in the table and read from the blocks it touches only (``ids_at``).
 
-Encoding works on distinct words: the tokenizer never merges over white space, so each chunk between ASCII white space
-is encoded once for as long as a worker remembers it. A tokenizer for which this doesn't hold is encoded whole
-(``by_word=False``).
+Encoding works on distinct words where the tokenizer never merges over white space: then each chunk between ASCII white
+space is encoded once for as long as a worker remembers it. Whether it does is found out from the tokenizer itself, by
+encoding characters of all kinds beside one another and apart (``keeps_words_apart``); each block of texts also has one
+encoded whole, and a difference is an error. Other tokenizers encode whole texts. Words are looked up by 64-bit hashes: of
+the w distinct words that a worker holds (``CACHE_WORDS`` and a block's at most), some two are taken for one with a chance
+below w * w / 2**65, 1e-7 for two million.
 
-Defined results: a null text is an empty one and has the end id alone; documents with a null id come first, equal ids
+Defined results: a null text is an empty one and has the end id alone; a very long text is encoded as any other, and is one
+segment with the texts beside it; documents with a null id come first, equal ids
 stay next to each other in an arbitrary order; an empty table gives no rows; further columns don't matter.
 """
 
@@ -37,7 +43,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxtable.llm.kernel import U64, Words, blocks, member, text_arrays
-from voxtable.llm.shared import folder, partitions, stash, table
+from voxtable.llm.shared import folder, parts_for, stash, table
 
 BLOCK = 128
 PERCENTILE = 90
@@ -45,6 +51,7 @@ SEGMENT_IDS = 1 << 20
 END_ID = 2
 #: Text of one file, and words that a worker remembers.
 FILE_BYTES, CACHE_WORDS = 24 << 20, 1_500_000
+FILE_SEGMENTS = 8
 MAGIC, MARK = b"PFR1", "\nPFR1-end\n"
 HEAD = np.dtype([("magic", "S4"), ("docs", "<u4"), ("ids", "<u4"), ("blocks", "<u4"), ("table", "<u4"), ("payload", "<u4")])
 INDEX = np.dtype([("at", "<u4"), ("least", "<u4"), ("width", "u1"), ("exceptions", "u1")])
@@ -161,14 +168,33 @@ def ids_at(index: np.ndarray, payload: np.ndarray, start: int, n: int) -> np.nda
     return unpack_ids(index[first:last], payload)[start - first * BLOCK :][:n]
 
 
+#: Beside white space: letters with and without case, marks, digits, punctuation, symbols, other spaces and controls.
+PROBES = ("a", "Zz", "ß", "Σ", "ας", "é", "e\u0301", "\u0301", "ﬁ", "漢", "かな", "한", "ا", "1", "23", "½", "'", "'s", "'t", ".", "...", "-", "_", "#", "$", "<", "|>", "▁", "Ġ", "€", "😀", "\u200d", "\u00a0", "\u3000", "\x00", "\x7f")
+
+
+def keeps_words_apart(tokenizer) -> bool:
+    """Whether texts that ASCII white space joins have the ids of their parts, one after another."""
+    whole, parts = [], []
+    for x in PROBES:
+        for y in ("", *PROBES):
+            for space in (" ", "\t", "\n", "\r\n", "\x0b", "\x0c", "  "):
+                whole += [f"{x}{space}{y}", f"{space}{x}{y}{space}"]
+                parts += [(x, y), (x + y,)]
+    texts = sorted({p for ps in parts for p in ps} | set(whole))
+    ids = {t: x.ids for t, x in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True)}
+    return all(ids[w] == [i for p in ps for i in ids[p]] for w, ps in zip(whole, parts, strict=True))
+
+
 class Encoder:
-    """Ids of whole texts. With ``by_word`` every distinct chunk between ASCII white space is encoded once a worker."""
+    """Ids of whole texts. With ``by_word`` every distinct chunk between ASCII white space is encoded once a worker; None
+    asks the tokenizer."""
 
-    def __init__(self, path: str, end_id: int | None = END_ID, by_word: bool = True):
+    def __init__(self, path: str, end_id: int | None = END_ID, by_word: bool | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end_id, self.by_word = Tokenizer.from_file(path), end_id, by_word
+        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        self.by_word = keeps_words_apart(self.tokenizer) if by_word is None else by_word
         # a special token between two chunks shows where the first one's ids end
         special = [(k, x.content) for k, x in self.tokenizer.get_added_tokens_decoder().items() if x.special and not (x.lstrip or x.rstrip or x.single_word)]
         self.fence = special[0] if special else None
@@ -225,7 +251,13 @@ class Encoder:
         flat = np.concatenate([flat, end])
         total = np.concatenate([[0], np.cumsum(lens)])
         spots = np.repeat(starts - total[:-1], lens) + np.arange(total[-1])
-        return flat[spots], np.diff(total[words.first + np.arange(n + 1)])
+        ids, bounds = flat[spots], total[words.first + np.arange(n + 1)]
+        sizes = np.where(words.counts > 1, np.diff(offsets), len(raw) + 1)
+        if n and (k := int(sizes.argmin())) >= 0 and sizes[k] <= len(raw):  # the shortest text of several words, also encoded whole
+            known, _ = self.encode([raw[offsets[k] : offsets[k + 1]].decode()])
+            if not np.array_equal(known, ids[bounds[k] : bounds[k + 1] - len(end)]):
+                raise ValueError("the tokenizer's ids of a text aren't those of its words; write with by_word=False")
+        return ids, np.diff(bounds)
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -239,11 +271,11 @@ def encoder(*key) -> Encoder:
     return _encoders[key]
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = END_ID, by_word: bool = True) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = END_ID, by_word: bool | None = None) -> None:
     """Writes the ids of all texts below ``path``, in ascending order of ids over the files' names."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    files = max(partitions(spark), -(-total // FILE_BYTES))
+    files = parts_for(spark, total, FILE_BYTES)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
     # the tie spreads rows of one id over partitions, in case there are very many
     rows = rows.repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
@@ -271,9 +303,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
             yield flush()
 
     # a cast to string keeps the bytes as they are
-    rows.mapInArrow(run, "segment binary").select(F.col("segment").cast("string").alias("value")).write.option("lineSep", MARK).text(path)
+    rows.mapInArrow(run, "segment binary").select(F.col("segment").cast("string").alias("value")).write.options(lineSep=MARK, maxRecordsPerFile=FILE_SEGMENTS).text(path)
 
 
+#: Files of one partition at most.
+MOST_FILES = 1 << 20
 READ = "file long, place long, doc_id long, before long, n_tokens long, ids_crc32 long"
 
 
@@ -284,7 +318,8 @@ def read(spark, path: str, with_ids: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                number, place, before = int(re.search(r"part-(\d+)", name)[1]), 0, 0
+                part, nth = re.search(r"part-(\d+)-.*-c(\d+)", name).groups()
+                number, place, before = int(part) * MOST_FILES + int(nth), 0, 0
                 for doc_ids, known, counts, index, payload in segments(content.as_py()):
                     flat = unpack_ids(index, payload)[: int(counts.sum())].astype("<u4")
                     bounds = np.concatenate([[0], np.cumsum(counts.astype(np.int64))])
@@ -299,7 +334,7 @@ def read(spark, path: str, with_ids: bool = False) -> DataFrame:
                     place, before = place + n, before + int(bounds[-1])
 
     rows = stash(files.mapInArrow(run, READ + ", ids array<int>" * with_ids))
-    # one row a file: the offsets of the files
+    # one row a file: the offsets of the files, 100 TB of text being some two million
     sums = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     sums = sums.select("file", (F.sum("n").over(W.orderBy("file")) - F.col("n")).alias("offset"))
     return rows.join(sums, "file").select("doc_id", (F.col("offset") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "file", "place", *["ids"] * with_ids)
