@@ -46,7 +46,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows with a null id go where one of them is contaminated."""
-    found = stash(decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__bad")).distinct())
+    found = stash(decontamination.contaminated_ids(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__bad")))
     return docs.join(small(found), docs["doc_id"].eqNullSafe(found["__bad"]), "left_anti").select(docs.columns)
 
 
