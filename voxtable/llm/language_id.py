@@ -1,13 +1,16 @@
 """Language identification by a bidirectional gated recurrent network over bytes (operator 3).
 
 The network is trained here, in NumPy, by backpropagation through time, on windows of ``WINDOW`` bytes from a bounded
-sample of labelled texts (``SAMPLE`` texts a label on average, ``SAMPLE_WINDOWS`` windows a text). It labels every
-position: one recurrent state comes from the left and one from the right, and both give the position's probabilities. A
+sample of labelled texts: ``SAMPLE`` texts a label on average, ``SAMPLE_TEXTS`` over all labels, and ``SAMPLE_WINDOWS``
+windows of each, at places drawn from its whole length. This bounds what is fitted on, and with it what the driver holds,
+however long texts are and however many labels there are; a label is a language, so their names fit on the driver. It
+labels every position: one recurrent state comes from the left and one from the right, and both give the position's probabilities. A
 document's probabilities are the means over all positions of its whole text, read in successive windows.
 
 Defined results: a text that is null or has no letter (``\\p{L}``) is ``und`` with score 0, as is every text where there
 is nothing to learn from; a null id is in neither part, so it is predicted and never learnt from; null labels are not
-learnt from; repeated rows are each predicted; an empty table gives no rows; further columns don't matter.
+learnt from; repeated rows are each predicted; a very long text is read whole; of equal probabilities the first label by
+name counts; an empty table gives no rows; further columns don't matter.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from voxtable.llm.shared import table
 
 UNDETERMINED = "und"
 WINDOW, HIDDEN = 48, 8
-SAMPLE, SAMPLE_WINDOWS = 200, 24
+SAMPLE, SAMPLE_TEXTS, SAMPLE_WINDOWS = 200, 20_000, 24
 STEPS, BATCH, RATE = 240, 256, 0.02
 SEED = 11
 #: Windows that run through the network at once.
@@ -170,13 +173,14 @@ def remainder(id_col: str) -> Column:
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, texts: int, seed: int = SEED) -> list[tuple[str, bytes]]:
-    """(label, window) from about ``texts`` texts of each label, chosen by a hash of the id, at places chosen by seed."""
+    """(label, window) from about ``texts`` texts of each label (fewer where that is over ``SAMPLE_TEXTS``), chosen by a hash of the id, at places chosen by seed."""
     usable = docs.where((remainder(id_col) != 2) & F.col(label_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
         F.col(label_col).alias("label"), F.xxhash64(F.lit(seed), id_col).alias("key"), F.col(text_col).alias("text")
     )
     counts = {r[0]: r[1] for r in usable.groupBy("label").count().collect()}
     if not counts:
         return []
+    texts = max(1, min(texts, SAMPLE_TEXTS // len(counts)))
     share = F.create_map(*(F.lit(x) for label, n in sorted(counts.items()) for x in (label, min(1.0, texts / n))))
     chosen = usable.where(F.pmod("key", F.lit(1 << 30)) < share[F.col("label")] * (1 << 30))
 
