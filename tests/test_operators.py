@@ -82,7 +82,7 @@ def test_runs_agree(spark):
     assert sequence.collapse_runs(kept, ["k"], ["i"], "v").count() == len(want)
 
 
-def test_batches(spark):
+def test_batches(spark, monkeypatch):
     df = spark.createDataFrame([(i, n) for i, n in enumerate([1, 2, 3, 4, 5])], "place long, n long")
     assert rows(batching.budget_batches(df, "n", 6), "place", "batch") == [(0, 0), (1, 0), (2, 0), (3, 1), (4, 1)]
     lengths = np.random.default_rng(2).integers(1, 50, 500).tolist()
@@ -97,6 +97,8 @@ def test_batches(spark):
     shards = spark.createDataFrame([(i, 1.0) for i in range(7)], "idx long, h double")
     assert [s for _, s in rows(batching.total_shards(shards, "h", 3), "idx", "shard")] == [0, 0, 0, 1, 1, 1, 2]
     assert batching.until_total(shards, "h", 2.5).count() == 3
+    monkeypatch.setattr(batching, "BLOCK_ROWS", 2)
+    assert rows(batching.until_total(shards, "h", 4.5), "idx") == [(k,) for k in range(5)] and batching.until_total(shards.where("idx < 0"), "h", 1).count() == 0
     assert rows(batching.fixed_batches(shards, 3, "idx"), "idx", "batch")[3] == (3, 1)
 
 

@@ -8,6 +8,7 @@ are tasks, with ``shards_by_hash`` where the data has no natural ones.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,9 @@ def fixed_batches(df: DataFrame, size: int, place: Column | str) -> DataFrame:
     return df.withColumn("batch", F.floor(place / size).cast("long"))
 
 
+#: Rows of a key whose running sum one task makes.
+BLOCK_ROWS = 100_000
+
 #: cut(values, state) -> (batch numbers relative to the state's, new state): the walk over a stretch of one group's rows.
 Cut = Callable[[np.ndarray, tuple], tuple[np.ndarray, tuple]]
 
@@ -147,10 +151,18 @@ def total_shards(df: DataFrame, amount: str, per_shard: float, keys: Sequence[st
 
 
 def until_total(df: DataFrame, amount: str, most: float, keys: Sequence[str] = (), order: Sequence[str] = ("idx",)) -> DataFrame:
-    """Rows up to the one whose amount makes the running sum reach ``most``, that one included."""
-    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(amount).over(w), F.lit(0.0))
-    return df.withColumn("__before", before).where(F.col("__before") < most).drop("__before")
+    """Rows up to the one whose amount makes the running sum reach ``most``, that one included.
+
+    Sums run within blocks of ``BLOCK_ROWS`` rows of a key and over the blocks' totals: no task holds a whole key.
+    """
+    rows = ranked(df, keys, list(order), "__place").withColumn("__block", F.floor(F.col("__place") / BLOCK_ROWS))
+    totals = rows.groupBy(*keys, "__block").agg(F.sum(amount).alias("__t"))
+    earlier = F.coalesce(F.sum("__t").over(W.partitionBy(*keys).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    totals = totals.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("__block").alias("__b"), earlier.alias("__earlier")).where(F.col("__earlier") < most)
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)), F.col("__block") == F.col("__b"))
+    inside = W.partitionBy(*keys, "__block").orderBy("__place").rowsBetween(W.unboundedPreceding, -1)
+    found = rows.join(totals, same).withColumn("__before", F.col("__earlier") + F.coalesce(F.sum(amount).over(inside), F.lit(0.0)))
+    return found.where(F.col("__before") < most).select(*df.columns)
 
 
 def flush_batches(df: DataFrame, frames: str, size: int, keys: Sequence[str] = (), order: Sequence[str] = ("idx",), name: str = "flush") -> DataFrame:

@@ -6,11 +6,11 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxtable.functions.numbers import padded_size
 from voxtable.operators import vectors
+from voxtable.operators.relational import with_index
 
 SCALE = 1e-5
 
@@ -23,14 +23,14 @@ def new_types(candidates: DataFrame, vocabulary: DataFrame, piece: str = "piece"
 def extend(vocabulary: DataFrame, specials: Sequence[str], types: DataFrame, kind: str = "bpe", piece: str = "piece") -> DataFrame:
     """(rank, piece, score, special): the vocabulary, then the special pieces, then the new types in the order of ``idx``.
 
-    For ``bpe`` scores go on downwards by 1 from the last one; otherwise new pieces have score 0. Vocabularies and lists of
-    types are model-sized, so one ordered window numbers them.
+    For ``bpe`` scores go on downwards by 1 from the last one; otherwise new pieces have score 0. New types are numbered by
+    ranges, so they may be more than one task sorts.
     """
     spark = vocabulary.sparkSession
     last = vocabulary.agg(F.max("rank").alias("__rank"), F.max_by("score", "rank").alias("__score"))
-    extra = spark.createDataFrame([(i, p) for i, p in enumerate(specials)], "__o long, piece string").withColumnRenamed("piece", piece).withColumn("special", F.lit(True))
-    more = types.select(F.col("idx").cast("long").alias("__o"), piece).withColumn("special", F.lit(False))
-    added = extra.unionByName(more).withColumn("__n", F.row_number().over(W.orderBy(F.col("special").desc(), "__o", piece)))
+    extra = spark.createDataFrame([(i + 1, p, True) for i, p in enumerate(specials)], "__n long, piece string, special boolean").withColumnRenamed("piece", piece)
+    more = with_index(types.select(F.col("idx").cast("long").alias("__o"), piece), "__o", piece, name="__n")
+    added = extra.unionByName(more.select((F.col("__n") + 1 + len(specials)).alias("__n"), piece, F.lit(False).alias("special")))
     score = F.col("__score") - F.col("__n") if kind == "bpe" else F.lit(0.0)
     added = added.crossJoin(F.broadcast(last)).select((F.col("__rank") + F.col("__n")).cast("long").alias("rank"), piece, score.cast("double").alias("score"), "special")
     return vocabulary.select(F.col("rank").cast("long"), piece, F.col("score").cast("double"), F.lit(False).alias("special")).unionByName(added)
