@@ -434,10 +434,18 @@ def kmeans_batches(spark, d):
     return kmeans.codebook(spark, model.centers)
 
 
-@query()
+@query("""WITH x AS (SELECT unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS dim FROM embeddings), m AS (SELECT list(round(m, 4) ORDER BY dim) AS mean FROM (SELECT dim, avg(v) AS m FROM x GROUP BY dim)),
+n AS (SELECT count(*) AS n, (ceil((count(*) + 5) / 64.0) * 64)::BIGINT AS size FROM embeddings)
+SELECT i AS id, 64 AS dims, round(e.embedding[1]::DOUBLE, 6) AS first, CASE WHEN e.vec_id IS NULL THEN mean[1] END AS centre FROM n, m, LATERAL (SELECT unnest(range(size)) AS i) LEFT JOIN embeddings e ON e.vec_id = i""")
 def new_embeddings(spark, d):
+    """Old rows stay; new ones are drawn around the mean, which their own mean comes near (to 0.02 with so small a scale)."""
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    return vocab.extend_embeddings(rows, N.padded_size(rows.count() + 5, 64))
+    n = rows.count()
+    out = vocab.extend_embeddings(rows, N.padded_size(n + 5, 64))
+    mean = vectors.mean_vector(rows, "vec").where("dim = 0").select(F.col("mean").alias("m"))
+    first = F.col("vec")[0].cast("double")
+    placed = out.crossJoin(F.broadcast(mean))
+    return placed.select("id", F.size("vec").alias("dims"), F.when(F.col("id") < n, F.round(first, 6)).alias("first"), F.when((F.col("id") >= n) & (F.abs(first - F.col("m")) < 0.02), F.round("m", 4)).alias("centre"))
 
 
 # Text
@@ -558,10 +566,11 @@ def unit_labels(spark, d):
     return pipelines.unit_lines(frames, book, audio)
 
 
-@query()
+@query("SELECT row_number() OVER (ORDER BY item_id) - 1 AS idx, 'English:' AS hypothesis, true AS scored FROM benchmark")
 def generated_text(spark, d):
-    rows = prompts.prompts(table(spark, d, "benchmark").withColumn("idx", F.col("item_id")), X.DEFAULT_TEMPLATE, {"dsu_seq": F.col("text")})
-    return seams.score(seams.generate(rows, lambda: seams.fake_generator("instruction")), lambda: seams.fake_scorer("hypothesis")).select("idx", "hypothesis", "score")
+    rows = prompts.prompts(R.with_index(table(spark, d, "benchmark"), "item_id"), X.DEFAULT_TEMPLATE, {"dsu_seq": F.col("text")})
+    said = seams.score(seams.generate(rows, lambda: seams.fake_generator("instruction")), lambda: seams.fake_scorer("hypothesis"))
+    return said.select("idx", "hypothesis", F.col("score").between(0, 1).alias("scored"))
 
 
 def queries() -> dict[str, Query]:

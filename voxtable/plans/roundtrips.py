@@ -370,10 +370,10 @@ def sentence_vectors(spark, d):
     return found.select("idx", F.size(mean).alias("dims"), (~F.col("decode_ok")).alias("silent"))
 
 
-@query()
+@query(f"SELECT idx, 'last words of ' || item_id AS hypothesis FROM {BENCH}")
 def speech_recognition(spark, d):
-    """Frames to units to a prompt, then a stand-in recogniser."""
-    rows = placed(spark, d, "benchmark", "item_id", "text").select("idx", F.col("text").alias("instruction"))
+    """A stand-in recogniser, which repeats its prompt's last line up to the stop string."""
+    rows = placed(spark, d, "benchmark", "item_id", "text").select("idx", F.concat("text", F.lit("\nlast words of "), "item_id", F.lit("\n \n")).alias("instruction"))
     return seams.generate(rows, lambda: seams.fake_generator("instruction")).select("idx", "hypothesis")
 
 
