@@ -162,6 +162,32 @@ def test_ngram_join(docs, rows, k, num, frequent, monkeypatch):
     assert len({c for _, _, c in want}) < len(want)
 
 
+def hot_rows() -> list[tuple]:
+    """A third of the rows are copies of one text, a third near copies of it, and all share a passage."""
+    rng = np.random.default_rng(6)
+    pick = lambda n: [f"h{i}" for i in rng.integers(0, 5000, n)]
+    passage, copied = pick(6), pick(60)
+    rows = [(3 * k, " ".join(passage + copied)) for k in range(70)]
+    rows += [(3 * k + 1, " ".join([*passage, *copied[:k], "other", *copied[k + 1 :]])) for k in range(60)]
+    return rows + [(3 * k + 2, " ".join(pick(30) + passage + pick(int(rng.integers(0, 40))))) for k in range(70)]
+
+
+@pytest.mark.parametrize(("k", "num"), [(3, 90), (5, 80)])
+def test_ngram_join_of_a_hot_group(spark, k, num, monkeypatch):
+    """The common tokens are dealt out by salt."""
+    monkeypatch.setattr(ngram_join, "FREQUENT", 50)
+    rows = hot_rows()
+    got = ngram_join.link_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), shingle=k, num=num, den=100).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == links_of(rows, k, num, 100)
+
+
+def test_substring_dedup_of_a_hot_group(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "GROUP_BYTES", 2000)
+    rows = hot_rows()
+    got = substring_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept.hex()) for r in got) == dedup_of(rows, 13)
+
+
 @pytest.mark.parametrize("name", ["FAN", "ADDED"])
 def test_ngram_join_in_several_steps(docs, rows, name, monkeypatch):
     """Buckets dealt out in two steps, and sketches added up in a tree."""

@@ -398,12 +398,15 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = stash(pairs_of(x.join(y, "t").where((F.col("x.s1") != F.col("y.s1")) & possible(num, den, "x", "y")), "x", "y"), written)
     links = stash(verified(pairs, docs, sets, shingle, num, den, level, written), written)
 
+    # a size's block never falls as the size grows, so the sizes that can match one lie between two blocks
+    block = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(den / num))).cast("int") if num < den else n.cast("int")
+
     # what may still connect two components: x has the smaller set, y one of at most den/num its size
     names = small(stash(components(links).withColumnRenamed("node", "doc"), written))
     named = e.join(names, "doc", "left").select("t", "doc", "s1", "n", "pos", F.coalesce("component", "doc").alias("c"))
     several = named.groupBy("t").agg(F.min("c").alias("l"), F.max("c").alias("h")).where("l <> h").select("t")
-    named = stash(named.join(small(stash(several, written)), "t", "left_semi").withColumn("block", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int") if num < den else F.col("n")), written)
-    x, y = named.withColumn("block", F.explode(F.array("block", F.col("block") + 1))).alias("x"), named.alias("y")
+    named = stash(named.join(small(stash(several, written)), "t", "left_semi").withColumn("block", block(F.col("n"))), written)
+    x, y = named.withColumn("block", F.explode(F.sequence("block", block(F.expr(f"n * {den} div {num}"))))).alias("x"), named.alias("y")
     smaller = F.struct("x.n", "x.doc", "x.s1") < F.struct("y.n", "y.doc", "y.s1")
     more = pairs_of(x.join(y, ["t", "block"]).where((F.col("x.c") != F.col("y.c")) & smaller & possible(num, den, "x", "y")), "x", "y")
     more = stash(more.join(pairs, PAIR, "left_anti"), written)
