@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -276,3 +277,28 @@ def test_plans_and_seams(spark):
     assert [r.units for r in lines] == [chr(983040), ""]
     said = seams.score(seams.generate(prompts.prompts(corpus, "{x}\n", {"x": F.col("text")}), lambda: seams.fake_generator("instruction")), lambda: seams.fake_scorer("hypothesis"))
     assert [r.hypothesis for r in said.orderBy("idx").collect()] == [f"t{i}" for i in range(6)]
+
+
+def slow_bleu(pairs, orders: int = 4) -> float:
+    """Corpus BLEU of (reference, hypothesis) token lists."""
+    logs = 0.0
+    for n in range(1, orders + 1):
+        grams = lambda t: Counter(tuple(t[k : k + n]) for k in range(len(t) - n + 1))  # noqa: E731, B023
+        matches = sum((grams(r) & grams(h)).total() for r, h in pairs)
+        logs += math.log(matches / sum(grams(h).total() for _, h in pairs))
+    r, h = (sum(len(p[k]) for p in pairs) for k in range(2))
+    return 100 * min(1.0, math.exp(1 - r / h)) * math.exp(logs / orders)
+
+
+def test_bleu_of_sentence_pieces(spark):
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    texts = [("The quick brown fox jumps over the lazy dog.", "The quick brown fox jumped over a lazy dog"), ("Rain fell on the harbour all night long.", "Rain fell on the harbour for all of the night."), ("One", "One")]
+    processor = sentencepiece.SentencePieceProcessor(model_file=path)
+    df = spark.createDataFrame([(k, *t) for k, t in enumerate(texts)], "idx long, r string, h string")
+    with open(path, "rb") as f:
+        got = evaluate.bleu(df, "r", "h", tokenizer=evaluate.sentence_pieces(f.read())).first().bleu
+    assert math.isclose(got, slow_bleu([[processor.encode(x, out_type=str) for x in t] for t in texts]))
+    assert math.isclose(evaluate.bleu(df, "r", "h").first().bleu, slow_bleu([[x.split() for x in t] for t in texts]))

@@ -534,6 +534,16 @@ def bleu(spark, d):
     return evaluate.bleu(_heard(spark, d), "text", "hypothesis").select(F.round("bleu", 6).alias("bleu"))
 
 
+@query()
+def bleu_pieces(spark, d):
+    """BLEU over the pieces of a public SentencePiece model."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        cut = evaluate.sentence_pieces(f.read())
+    return evaluate.bleu(_heard(spark, d), "text", "hypothesis", tokenizer=cut).select(F.round("bleu", 6).alias("bleu"))
+
+
 @query(f"""WITH t AS (SELECT item_id, 'r' AS side, list_filter(string_split(regexp_replace(text, '\\s+', '', 'g'), ''), lambda w: w <> '') AS ws FROM benchmark
 UNION ALL SELECT item_id, 'h', list_filter(string_split(regexp_replace({HEARD}, '\\s+', '', 'g'), ''), lambda w: w <> '') FROM benchmark), {MATCHES.format(orders=6)}
 SELECT round(100 * 5 * p * r / (4 * p + r), 6) AS chrf FROM (SELECT avg(m / h) AS p, avg(m / r) AS r FROM x)""")
