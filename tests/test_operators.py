@@ -103,6 +103,19 @@ def test_batches(spark, monkeypatch):
     assert rows(batching.fixed_batches(shards, 3, "idx"), "idx", "batch")[3] == (3, 1)
 
 
+def test_runs_over_ranges(spark):
+    """One key has most rows and goes over all ranges; nulls are values, null keys are keys."""
+    rng = np.random.default_rng(9)
+    data = [(None if k % 50 == 0 else "hot" if k % 3 else f"k{k % 7}", k, [None, "a", "b"][int(rng.integers(0, 3))]) for k in range(900)]
+    want, last = [], {}
+    for key, k, v in data:
+        if key not in last or last[key] != v:
+            want.append(k)
+        last[key] = v
+    got = sequence.collapse_runs(spark.createDataFrame(data, "key string, i long, v string").repartition(6), ["key"], ["i"], "v")
+    assert sorted(r.i for r in got.collect()) == want and got.columns == ["key", "i", "v"]
+
+
 def test_early_stopping(spark):
     values = [5, 4, 4, 3, 3.5, 3.2]
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "step int, v double")

@@ -43,22 +43,33 @@ def with_index(df: DataFrame, *order: Column | str, name: str = IDX) -> DataFram
     return ranked(df, (), order, name)
 
 
+def ranges(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """The rows in sorted ranges, with ``__part`` and ``__at`` (the place in it), written to the shared folder: both uses of
+    the ranges see the same ones."""
+    order = tuple(F.col(c) if isinstance(c, str) else c for c in order)
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id64", F.monotonically_increasing_id())
+    ranged = ranged.withColumns({"__part": F.shiftright("__id64", PLACE_BITS).cast("int"), "__at": F.col("__id64").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))})
+    return stash(ranged.drop("__id64"))
+
+
+def with_ranges(rows: DataFrame, keys: Sequence[str], about: DataFrame) -> DataFrame:
+    """Joins what ``about`` says of each key in each range: (``keys``, ``__part``, further columns)."""
+    about = about.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("__part").alias("__p"), *(c for c in about.columns if c not in (*keys, "__part")))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)), F.col("__part") == F.col("__p"))
+    return rows.join(about if keys else F.broadcast(about), same).drop("__p", *(f"__k{i}" for i in range(len(keys))))
+
+
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str = IDX) -> DataFrame:
     """Adds 0, 1, 2 ... in the given order within ``keys``. No task holds the rows of a key: ranges cut through keys.
 
     A range's first place of a key and the key's rows in the ranges before give a row's number; those are a row for each
     key of each range.
     """
-    order = tuple(F.col(c) if isinstance(c, str) else c for c in (*keys, *order))
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id64", F.monotonically_increasing_id())
-    ranged = ranged.withColumns({"__part": F.shiftright("__id64", PLACE_BITS).cast("int"), "__at": F.col("__id64").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))})
-    ranged = stash(ranged.drop("__id64"))
-    counts = ranged.groupBy(*keys, "__part").agg(F.count("*").alias("__c"), F.min("__at").alias("__first"))
+    rows = ranges(df, (*keys, *order))
+    counts = rows.groupBy(*keys, "__part").agg(F.count("*").alias("__c"), F.min("__at").alias("__first"))
     before = F.sum("__c").over(W.partitionBy(*keys).orderBy("__part")) - F.col("__c") - F.col("__first")
-    counts = counts.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("__part").alias("__p"), before.alias("__before"))
-    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)), F.col("__part") == F.col("__p"))
-    found = ranged.join(counts if keys else F.broadcast(counts), same).withColumn(name, (F.col("__before") + F.col("__at")).cast("long"))
-    return found.drop("__part", "__at", "__p", "__before", *(f"__k{i}" for i in range(len(keys))))
+    found = with_ranges(rows, keys, counts.select(*keys, "__part", before.alias("__before")))
+    return found.withColumn(name, (F.col("__before") + F.col("__at")).cast("long")).drop("__part", "__at", "__before")
 
 
 def slice_rows(df: DataFrame, start: int = 0, n: int = 0, order: str = IDX) -> DataFrame:

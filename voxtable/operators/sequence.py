@@ -12,14 +12,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxtable.functions.bind import bind
-from voxtable.operators.relational import ranked
+from voxtable.operators.relational import ranges, ranked, with_ranges
 
 
 def collapse_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
-    """Rows whose value differs from that of the row before, within ``keys``; nulls equal nulls."""
-    w = W.partitionBy(*keys).orderBy(*order)
-    before = F.lag(F.struct(value)).over(w)
-    return df.withColumn("__before", before).where(F.col("__before").isNull() | ~F.col("__before")[value].eqNullSafe(F.col(value))).drop("__before")
+    """Rows whose value differs from that of the row before, within ``keys``; nulls equal nulls.
+
+    Rows are compared within ranges, which cut through keys; a range's first row of a key is compared with the last one of
+    the range before. So one key may have any number of rows.
+    """
+    rows = ranges(df, (*keys, *order))
+    last = rows.groupBy(*keys, "__part").agg(F.max_by(F.struct(F.col(value).alias("v")), "__at").alias("__last"))
+    earlier = last.select(*keys, "__part", F.lag("__last").over(W.partitionBy(*keys).orderBy("__part")).alias("__earlier"))
+    inside = F.lag(F.struct(F.col(value).alias("v"))).over(W.partitionBy(*keys, "__part").orderBy("__at"))
+    found = with_ranges(rows.withColumn("__inside", inside), keys, earlier).withColumn("__before", F.coalesce("__inside", "__earlier"))
+    return found.where(F.col("__before").isNull() | ~F.col("__before.v").eqNullSafe(F.col(value))).select(*df.columns)
 
 
 def pool(df: DataFrame, key: str, place: str, values: str, width: int, kind: str = "mean") -> DataFrame:
@@ -153,7 +160,10 @@ def adaptive_draws(sources: Mapping[str, Callable[[], Iterable[Item]]], length_o
 
 
 def early_stopping(df: DataFrame, step: str, value: str, patience: int, lower_is_better: bool = True, keys: Sequence[str] = ()) -> DataFrame:
-    """Adds ``best`` (so far), ``bad`` (steps since it improved) and ``stop`` (bad >= patience, and 1, now or before)."""
+    """Adds ``best`` (so far), ``bad`` (steps since it improved) and ``stop`` (bad >= patience, and 1, now or before).
+
+    A key is a metric's series with a row for each check of a fit, which one task orders.
+    """
     past = W.partitionBy(*keys).orderBy(step).rowsBetween(W.unboundedPreceding, -1)
     so_far = W.partitionBy(*keys).orderBy(step).rowsBetween(W.unboundedPreceding, 0)
     ordered = W.partitionBy(*keys).orderBy(step)
