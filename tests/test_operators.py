@@ -168,7 +168,7 @@ def test_averages(spark):
     want = 1.0
     for v in (10, 4, 7):
         want = 0.98 * want + 0.02 * v
-    for out in (sequence.moving_average(df, "k", ["i"], "v"), sequence.moving_average_long(df, "k", ["i"], "v", block=2)):
+    for out in (sequence.moving_average(df, "k", ["i"], "v"), sequence.moving_average(df, "k", ["i"], "v", block=2)):
         assert math.isclose(out.first().avg, want)
 
 

@@ -70,21 +70,11 @@ def padding_share(df: DataFrame, mask: str) -> DataFrame:
     return sums.withColumn("pad_share", 1 - F.try_divide(F.col("n_frames").cast("double"), F.col("n_padded_frames").cast("double")))
 
 
-def moving_average(df: DataFrame, key: str, order: Sequence[str], value: str, alpha: float = 0.02, start: float = 1.0) -> DataFrame:
-    """Exponential moving average of each key: avg = (1 - alpha) * avg + alpha * value, from ``start``.
+def moving_average(df: DataFrame, key: str, order: Sequence[str], value: str, alpha: float = 0.02, start: float = 1.0, block: int = 10_000) -> DataFrame:
+    """Exponential moving average of each key, of any length: avg = (1 - alpha) * avg + alpha * value, from ``start``.
 
-    Its closed form is a sum over a window, but its weights underflow; so the ordered values of a key are folded. A key's
-    values are batch means, one for thousands of examples; for longer series see ``moving_average_long``.
-    """
-    rows = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("__v")))).alias("__rows"))
-    fold = F.aggregate("__rows", F.lit(float(start)), lambda avg, r: (1 - alpha) * avg + alpha * r["__v"])
-    return rows.select(key, F.size("__rows").cast("long").alias("n"), fold.alias("avg"))
-
-
-def moving_average_long(df: DataFrame, key: str, order: Sequence[str], value: str, alpha: float = 0.02, start: float = 1.0, block: int = 10_000) -> DataFrame:
-    """As ``moving_average`` for series of any length.
-
-    A run of values maps avg to a * avg + b; blocks of a key are folded to their (a, b) apart, then the blocks' maps.
+    Its closed form is a sum over a window, but its weights underflow. A run of values maps avg to a * avg + b; blocks of a
+    key's ordered values are folded to their (a, b) apart, then the blocks' maps.
     """
     numbered = ranked(df, [key], order, "__block").withColumn("__block", F.floor(F.col("__block") / block))
     rows = numbered.groupBy(key, "__block").agg(F.sort_array(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("__v")))).alias("r"))

@@ -334,8 +334,8 @@ def ema_lengths(spark, d):
 
 
 @query(EMA_SQL)
-def ema_lengths_long(spark, d):
-    return sequence.moving_average_long(table(spark, d, "events"), "event_type", ["event_id"], "value", block=500).withColumn("avg", F.round("avg", 6))
+def ema_lengths_blocks(spark, d):
+    return sequence.moving_average(table(spark, d, "events"), "event_type", ["event_id"], "value", block=500).withColumn("avg", F.round("avg", 6))
 
 
 @query("SELECT lang, round(count(*) / avg(n_chars) / sum(count(*) / avg(n_chars)) OVER (), 9) AS p FROM documents GROUP BY lang")
