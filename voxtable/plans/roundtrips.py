@@ -354,8 +354,8 @@ def substring_cases(spark, d):
 @query()
 def joint_kmeans(spark, d):
     rows = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
-    half = lambda k: lambda: kmeans.batches_of(rows.where(F.col("vec_id") % 2 == k), ["vec_id"], 100)
-    model, _ = kmeans.fit_joint({"a": (half(0), 1.0), "b": (half(1), 2.0)}, "embedding", kmeans.start(rows, "embedding", 10), "label", most_frames=600, validation=rows, check_every=2, stop=kmeans.Stop(0, {"inertia": 3}))
+    halves = [kmeans.batches_of(rows.where(F.col("vec_id") % 2 == k), ["vec_id"], 100) for k in range(2)]
+    model, _ = kmeans.fit_joint({"a": (lambda: halves[0], 1.0), "b": (lambda: halves[1], 2.0)}, "embedding", kmeans.start(rows, "embedding", 10), "label", most_frames=600, validation=rows, check_every=2, stop=kmeans.Stop(0, {"inertia": 3}))
     return kmeans.codebook(spark, model.centers)
 
 
