@@ -32,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxtable.llm.kernel import PLAIN, U64, Words, grams, mix, rows_of
+from voxtable.llm.kernel import PLAIN, U64, Words, grams, lean, mix, rows_of
 from voxtable.llm.shared import stash, table
 
 WINDOW, LEAST = 13, 5
 BITS = 24
+#: Text that is worked on at once: its tokens have four forms.
+FORM_BYTES = 1 << 19
 #: Units of measure that become placeholders after a number.
 UNIT_FORMS = "mm,cm,m metre metres meter meters,km kilometre kilometres kilometer kilometers,mg,g gram grams,kg kilogram kilograms,t,ml,l litre litres liter liters,s sec second seconds,min minute minutes,h hour hours,day days,week weeks,month months,year years,inch inches,foot feet,yard yards,mile miles,ounce ounces,pound pounds,gallon gallons,dollar dollars,euro euros,cent cents,percent,degree degrees"
 #: The first form of each unit, by form.
@@ -149,10 +151,11 @@ def spots(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def find(lengths: tuple[int, ...], bitmap=None, whole_only: bool = False):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, rows = batch.column(0), batch.column(1)
-            for start, words in rows_of(batch.column(2)):
+            for start, words in rows_of(batch.column(2), FORM_BYTES):
                 tokens, out = Tokens(words), []
                 for k, form in itertools.product(lengths, range(len(tokens.forms))):
                     at, hashes = tokens.windows(k, form)

@@ -8,17 +8,45 @@ verify, or state the collision bound.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def give_back() -> None:
+    """Returns freed memory to the system. Workers are reused, and what each has once needed would otherwise stay with it
+    while others and the JVM need theirs."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
+def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """A function over Arrow batches that gives memory back at the end of each task."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 U64 = np.uint64
 SEPARATORS = np.zeros(256, bool)
 SEPARATORS[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes of text that are worked on at once; a longer text is worked on alone.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
@@ -118,10 +146,10 @@ class Words:
         return mix((sums[ends] - sums[starts]) * down[starts])
 
 
-def rows_of(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, Words]]:
+def rows_of(column: pa.Array | pa.ChunkedArray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, Words]]:
     """(number of the first row, words) of blocks of rows."""
     data, offsets = text_arrays(column)
-    for start, stop in blocks(offsets):
+    for start, stop in blocks(offsets, limit):
         yield start, Words(data[offsets[start] : offsets[stop]], offsets[start : stop + 1] - offsets[start])
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxtable.llm.kernel import blocks, text_arrays
+from voxtable.llm.kernel import blocks, lean, text_arrays
 from voxtable.llm.shared import table
 
 UNDETERMINED = "und"
@@ -219,6 +219,7 @@ def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", t
     )
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxtable.llm.components import components
-from voxtable.llm.kernel import FOLDED, U64, Words, grams, mix, rows_of, runs, whole
+from voxtable.llm.kernel import FOLDED, U64, Words, give_back, grams, lean, mix, rows_of, runs, whole
 from voxtable.llm.shared import drop_tables, parts_for, small, stash, table
 
 SHINGLE, NUM, DEN = 3, 90, 100
@@ -51,11 +51,11 @@ ADDED = 128
 #: Cells of a set's histogram, by the lowest bits of a token.
 CELLS = 64
 #: Bytes of prefix entries that a bucket is meant for, and buckets that one task deals out at once.
-BUCKET_BYTES, FAN = 32 << 20, 4096
+BUCKET_BYTES, FAN = 16 << 20, 4096
 #: A token that the sketch counts this often or more is dealt out by salt.
 FREQUENT = 1 << 16
 #: Prefix entries that a task gathers before it sends them.
-SEND = 1_500_000
+SEND = 1_000_000
 SEEDS = tuple(U64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0))
 
 
@@ -122,6 +122,7 @@ SCAN_NAMES = ["doc_id", "n", "s1", "s2", "cells", "slice", "task", "blob"]
 
 
 def scan(k: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -240,6 +241,7 @@ class Sender:
 def first_order(k: int, num: int, den: int, level, buckets: int, width: int):
     """Packets of prefix entries, each for ``width`` buckets."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = level.value
         sender = Sender(levels, buckets, width)
@@ -258,6 +260,7 @@ def first_order(k: int, num: int, den: int, level, buckets: int, width: int):
 def deal(level, buckets: int):
     """Packets for many buckets as packets for one each."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender = Sender(level.value, buckets, 1)
         for batch in batches:
@@ -270,6 +273,7 @@ def deal(level, buckets: int):
 
 def meet(buckets: int):
     def run(key, rows):
+        give_back()
         found = np.concatenate([np.frombuffer(x, ENTRY) for x in rows.column("blob").to_pylist()])
         found = found[np.lexsort((found["doc"], found["s1"], found["t"]))]
         new = np.ones(len(found), bool)
@@ -291,6 +295,7 @@ WHOLE = "doc long, s1 long, tokens binary"
 def whole_sets(k: int):
     """Sets of the texts, a repeated row once a task."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for ids, known, owner, values, n in blobs(batches, k):
@@ -307,6 +312,7 @@ def whole_sets(k: int):
 def plausible(num: int, den: int):
     """Pairs whose histograms allow a link: the lesser counts of all cells bound the intersection from above."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, len(batch), 4096):
@@ -321,6 +327,7 @@ def plausible(num: int, den: int):
 def alike(num: int, den: int, level):
     """Pairs that share prefix tokens under the other orders too, and whose sets are similar enough."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = np.zeros(len(batch), bool)

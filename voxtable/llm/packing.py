@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxtable.llm.kernel import FOLDED, U64, mix, rows_of
+from voxtable.llm.kernel import FOLDED, U64, lean, mix, rows_of
 from voxtable.llm.shared import parts_for, small, stash, table
 
 CAPACITY, MOST_SOURCES = 2048, 8
@@ -37,6 +37,7 @@ MAP_BITS = 256
 MEASURED = "doc_id long, known boolean, n_words long, cluster long, source string, given string"
 
 
+@lean
 def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start, words in rows_of(batch.column(1)):

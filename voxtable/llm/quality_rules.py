@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxtable.llm.kernel import BLOCK_BYTES, U64, Words, blocks, cover, mix, text_arrays, whole
+from voxtable.llm.kernel import BLOCK_BYTES, U64, Words, blocks, cover, lean, mix, text_arrays, whole
 from voxtable.llm.shared import free, short_batches, table
 
 REPEAT_WINDOW = 5
@@ -110,6 +110,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     at = [1 if c == text_col else next(places) for c in keep if c != id_col]  # a carried text isn't sent twice
     types = [t for _, t in picked.dtypes]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_arrays(batch.column(1))

@@ -12,14 +12,17 @@ from voxtable.scratch import drop_tables, folder
 
 __all__ = ["drop_tables", "folder", "free", "parts_for", "partitions", "short_batches", "small", "stash", "table"]
 
-#: Rows of an Arrow batch: texts are long, and both the JVM and the Python worker hold a whole batch, or several.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch: texts are long, and both the JVM and the Python worker hold a whole batch, or several.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Shortens the session's Arrow batches, where they are longer. Plans take this setting when they run, so it stays."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Shortens the session's Arrow batches, where they are longer. Plans take these settings when they run, so they stay."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int(spark.conf.get(key).rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
 
 
 def stash(df: DataFrame, into: list[str] | None = None) -> DataFrame:

@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxtable.llm.kernel import U64, Words, cover, member, mix, rows_of, runs, whole
+from voxtable.llm.kernel import U64, Words, cover, give_back, lean, member, mix, rows_of, runs, whole
 from voxtable.llm.shared import partitions, parts_for, short_batches
 from voxtable.llm.shared import table as read_table
 
@@ -100,6 +100,7 @@ ANSWER_ARROW = [("grp", pa.int32()), ("blob", pa.binary())]
 def squeezed(docs: DataFrame, groups: int, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """Documents by group, each text compressed on its own: what a shuffle of the texts costs at least."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3, write_content_size=True)
         for batch in batches:
@@ -146,6 +147,7 @@ def cuts(where: np.ndarray) -> Iterator[tuple[int, int, int]]:
 
 
 def index_and_probe(block: int, buckets: int, width: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = defaultdict(list)
         size: dict[int, int] = defaultdict(int)
@@ -192,6 +194,7 @@ def index_and_probe(block: int, buckets: int, width: int):
 def deal_probes(buckets: int):
     """Packets of ranges of buckets as packets of one bucket and many groups."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
@@ -228,6 +231,7 @@ def opened(grp: int, blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def anchors(key, rows):
     """One bucket: the hashes that are a block of one document and a probe of another, for each group that has them."""
+    give_back()
     packets = zip(rows.column("grp").to_pylist(), rows.column("blob").to_pylist(), strict=True)
     every, grps, kind = (np.concatenate(x) for x in zip(*(opened(*p) for p in packets), strict=True))
     # one group may have sent the same hash twice, from two documents: those count as two
@@ -268,6 +272,7 @@ def anchor_windows(words: Words, known: np.ndarray, table_: dict[int, np.ndarray
 
 def extend(block: int, window: int, buckets: int, width: int):
     def run(key, docs, hits):
+        give_back()
         found: dict[int, list] = defaultdict(list)
         for blob in hits.column("blob").to_pylist():
             found[int(np.frombuffer(blob, np.int32, 1)[0])].append(unpack(blob[4:]))
@@ -295,6 +300,7 @@ def extend(block: int, window: int, buckets: int, width: int):
 def deal_windows(buckets: int):
     """Packets of ranges of buckets as packets of one bucket and many groups."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
@@ -321,6 +327,7 @@ def deal_windows(buckets: int):
 
 def smallest(key, rows):
     """One bucket: for each group the windows for which a document with a smaller id than some of its own has them."""
+    give_back()
     sent = [expand(blob) for blob in rows.column("blob").to_pylist()]
     grps = np.concatenate([x[3].astype(np.int64) if grp == MANY else np.full(len(x[0]), grp) for grp, x in zip(rows.column("grp").to_pylist(), sent, strict=True)])
     values, own, several = (np.concatenate([x[k] for x in sent]) for k in range(3))
@@ -349,6 +356,7 @@ def without(text: bytes, words: Words, base: int, first: int, edges: np.ndarray)
 
 def remove(window: int, keep_text: bool):
     def run(key, docs, hits):
+        give_back()
         pairs = [expand(blob) for blob in hits.column("blob").to_pylist()]
         values = np.concatenate([x[0] for x in pairs] or [np.zeros(0, U64)])
         least = np.concatenate([x[1].view(np.int64) for x in pairs] or [np.zeros(0, np.int64)])

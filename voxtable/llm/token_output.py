@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voxtable.llm.kernel import U64, Words, blocks, member, text_arrays
+from voxtable.llm.kernel import U64, Words, blocks, lean, member, text_arrays
 from voxtable.llm.shared import folder, parts_for, stash, table
 
 BLOCK = 128
@@ -280,6 +280,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
     # the tie spreads rows of one id over partitions, in case there are very many
     rows = rows.repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
@@ -315,6 +316,7 @@ def read(spark, path: str, with_ids: bool = False) -> DataFrame:
     """From the files: doc_id, start (ids of all documents before), n_tokens, ids_crc32, and ``ids`` on demand."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxtable.llm.kernel import lean
 from voxtable.llm.shared import folder, stash, table
 
 LEAST_REVISIT = 100
@@ -136,6 +137,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
         "r.page_id", "r.url", "r.html", "r.digest", "n.refers_to", F.when(F.col("n.repeated") | F.col("r.page_id").isNull(), F.monotonically_increasing_id()).alias("mark")
     )
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, len(batch), 512):
@@ -178,6 +180,7 @@ def read(spark, path: str, with_payload: bool = False) -> DataFrame:
                 first = kind == "response"
                 yield page_of(own) if first else None, own if first else fields["warc-segment-origin-id"], kind, None, digest, int(number), None if total is None else int(total), block, None, None, None
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
