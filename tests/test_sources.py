@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from voxtable.functions.text import DEFAULT_TEMPLATE
 from voxtable.operators.kmeans import MiniBatch
 from voxtable.operators.relational import with_index
+from voxtable.plans import roundtrips
 from voxtable.sources import readers, sinks
 from voxtable.streaming import lines as streams
 
@@ -135,6 +136,42 @@ def test_configured_scan(spark, tmp_path):
         readers.SourceConfig.from_text("split: x")
 
 
+def test_feature_shards_of_few_rows(spark, tmp_path):
+    """Whole shards share folders: their number follows the rows, over Arrow batches that end anywhere; 1 row: one each."""
+    rows = [("ab"[i % 3 == 0], i, float(i % 4)) for i in range(900)]
+    want, packs = {}, {}
+    for k in "ab":
+        shard, total, first, held = 0, 0.0, 0, 0
+        for _, i, h in (r for r in rows if r[0] == k):
+            want[i], packs[i], total, held = (k, shard), (k, first), total + h, held + 1
+            if total >= 5:
+                shard, total = shard + 1, 0.0
+                if held >= 100:
+                    first, held = shard, 0
+    df = spark.createDataFrame(rows, "k string, idx long, h double").repartition(3)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for name, most in (("whole", 100_000), ("packs", 100), ("each", 1)):
+            sinks.feature_shards(df, str(tmp_path / name), "h", 5, ["k"], pack_rows=most)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    for name, folders in (("whole", 2), ("packs", len(set(packs.values()))), ("each", len(set(want.values())))):
+        got = spark.read.parquet(str(tmp_path / name)).collect()
+        assert len(got) == 900 and {r.idx: (r.k, r.shard) for r in got} == want
+        assert len(list((tmp_path / name).glob("*/*/*.parquet"))) == folders
+    assert {r.idx: (r.k, r.first_shard) for r in spark.read.parquet(str(tmp_path / "packs")).collect()} == packs
+
+
+def test_feature_shard_files_makes_few_files(spark, tmp_path, monkeypatch):
+    """One folder for each type of these few events, not one for each of their shards."""
+    spark.range(2000).select(F.when(F.col("id") % 2 == 0, "x").otherwise("y").alias("event_type"), F.col("id").alias("event_id")).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(roundtrips, "folder", lambda spark: str(tmp_path / "out"))
+    got = roundtrips.feature_shard_files(spark, str(tmp_path))
+    assert got.count() == 2000 and dict(got.dtypes)["shard"] == "int" and got.select("event_type", "shard").distinct().count() > 90
+    assert len(list((tmp_path / "out").rglob("*.parquet"))) == 2
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(2, " c "), (0, "ä\n")], "idx long, t string")
     sinks.lines_by_place(df.withColumn("t", F.trim(F.regexp_replace("t", "\n", ""))), 4, "t", str(tmp_path / "a"))

@@ -40,12 +40,15 @@ def fixed_batches(df: DataFrame, size: int, place: Column | str) -> DataFrame:
 #: Rows of a key whose running sum one task makes.
 BLOCK_ROWS = 100_000
 
-#: cut(values, state) -> (batch numbers relative to the state's, new state): the walk over a stretch of one group's rows.
+#: Rows with which a pack of whole shards ends.
+PACK_ROWS = 100_000
+
+#: cut(values, state) -> (numbers, a row of them for each new column, new state): the walk over a stretch of one group's rows.
 Cut = Callable[[np.ndarray, tuple], tuple[np.ndarray, tuple]]
 
 
-def _walk(df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, cut: Cut, name: str) -> DataFrame:
-    """Adds the batch number that ``cut`` gives to the ordered rows of each group.
+def _walk(df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, cut: Cut, start: tuple, *names: str) -> DataFrame:
+    """Adds the numbers that ``cut`` gives to the ordered rows of each group; its state begins as ``start``.
 
     A batch begins where the one before ends, so rows of a group stream through one task: partitions hold whole groups,
     sorted, and the state starts anew where the keys change. An Arrow batch takes a few array operations for each batch
@@ -68,15 +71,15 @@ def _walk(df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str,
             values = np.nan_to_num(np.asarray(pc.fill_null(batch.column(value_at).cast(pa.float64()), 0.0)))
             coded = [c.dictionary_encode(null_encoding="encode").indices.to_numpy() for c in (batch.column(i) for i in key_at)]
             starts = [0, *(np.flatnonzero(np.any([c[1:] != c[:-1] for c in coded], axis=0)) + 1).tolist(), len(values)]
-            out = np.empty(len(values), np.int64)
+            out = np.empty((len(names), len(values)), np.int64)
             for a, b in zip(starts, starts[1:]):
                 key = [batch.column(i)[a].as_py() for i in key_at]
                 if key != current:
-                    current, state = key, (0, 0.0, 0)
-                out[a:b], state = cut(values[a:b], state)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*fields, name])
+                    current, state = key, start
+                out[:, a:b], state = cut(values[a:b], state)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, out)], names=[*fields, *names])
 
-    schema = T.StructType([*arranged.schema.fields, T.StructField(name, T.LongType())])
+    schema = T.StructType([*arranged.schema.fields, *(T.StructField(name, T.LongType()) for name in names)])
     out = arranged.mapInArrow(run, schema)
     return out.drop("__one") if lone else out
 
@@ -116,7 +119,7 @@ def budget_batches(df: DataFrame, length: str, budget: float, keys: Sequence[str
             at = end + 1
         return out, (batch, longest, count)
 
-    return _walk(df, keys, order, length, cut, name)
+    return _walk(df, keys, order, length, cut, (0, 0.0, 0), name)
 
 
 def whole_batches(df: DataFrame, length: str, budget: float, keys: Sequence[str] = (), batch: str = "batch") -> DataFrame:
@@ -126,12 +129,19 @@ def whole_batches(df: DataFrame, length: str, budget: float, keys: Sequence[str]
     return df.withColumn("__ok", reached).where("__ok").drop("__ok")
 
 
-def total_shards(df: DataFrame, amount: str, per_shard: float, keys: Sequence[str] = (), order: Sequence[str] = ("idx",), name: str = "shard") -> DataFrame:
-    """Adds the shard, from 0: the row whose amount makes the shard's sum reach ``per_shard`` is its last."""
+def total_shards(
+    df: DataFrame, amount: str, per_shard: float, keys: Sequence[str] = (), order: Sequence[str] = ("idx",), name: str = "shard", pack: str | None = None, pack_rows: int = PACK_ROWS
+) -> DataFrame:
+    """Adds the shard, from 0: the row whose amount makes the shard's sum reach ``per_shard`` is its last.
+
+    ``pack`` also adds the first shard of the pack that the shard is in: consecutive whole shards, of which the one that
+    brings the pack to ``pack_rows`` rows is its last.
+    """
+    names = [name] if pack is None else [name, pack]
 
     def cut(values: np.ndarray, state: tuple) -> tuple[np.ndarray, tuple]:
-        shard, total, _ = state
-        out, at, n = np.empty(len(values), np.int64), 0, len(values)
+        shard, total, first, held = state
+        out, at, n = np.empty((2, len(values)), np.int64), 0, len(values)
         while at < n:
             seen = {"total": total}
 
@@ -142,12 +152,17 @@ def total_shards(df: DataFrame, amount: str, per_shard: float, keys: Sequence[st
                 return sums >= per_shard
 
             end = _first(reached, at, n)
-            out[at : end + 1] = shard
-            shard, total = (shard, seen["total"]) if end == n else (shard + 1, 0.0)
+            out[0, at : end + 1], out[1, at : end + 1] = shard, first
+            held += min(end + 1, n) - at
+            if end == n:
+                total = seen["total"]
+            else:
+                shard, total = shard + 1, 0.0
+                first, held = (shard, 0) if held >= pack_rows else (first, held)
             at = end + 1
-        return out, (shard, total, 0)
+        return out[: len(names)], (shard, total, first, held)
 
-    return _walk(df, keys, order, amount, cut, name)
+    return _walk(df, keys, order, amount, cut, (0, 0.0, 0, 0), *names)
 
 
 def until_total(df: DataFrame, amount: str, most: float, keys: Sequence[str] = (), order: Sequence[str] = ("idx",)) -> DataFrame:

@@ -232,7 +232,7 @@ SELECT event_type, event_id, shard::INT AS shard FROM r""")
 def feature_shard_files(spark, d):
     rows = table(spark, d, "events").select("event_type", "event_id", (F.col("event_id") % 5).cast("double").alias("h"))
     sinks.feature_shards(rows, path := folder(spark), "h", 40, ["event_type"], ["event_id"])
-    return spark.read.parquet(path).select("event_type", "event_id", "shard")
+    return spark.read.parquet(path).select("event_type", "event_id", F.col("shard").cast("int").alias("shard"))
 
 
 @query(f"SELECT idx, n_chars::DOUBLE AS n_chars FROM {DOCS}")
